@@ -6,18 +6,44 @@ Parquet and read again as the next one's docs. All but the last return the colum
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plankit.llm import simhash
+from plankit.llm import classifier, packing, quality_rules, simhash
 from plankit.llm.scratch import written
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be of quality 1; all of them if there are no labels to learn from."""
+    model = classifier.fit(docs, _labels(spark, sf_dir))
+    return classifier.keep(docs, model) if model.trained else docs
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the corpus statistics are those of this stage's input."""
+    return quality_rules.keep(docs, _labels(spark, sf_dir).where("quality = 1"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of the smallest doc_id."""
     return simhash.keep_first(docs, size=3, radius=2)
 
 
-STAGES = [("simhash_near_dedup", near_dedup)]
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in sequences of 1024 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))[0]
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("simhash_near_dedup", near_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Stages are models and packings that SQL does not express; tests/llm holds the brute-force version.
 ORACLE_SQL = None

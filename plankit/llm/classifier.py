@@ -179,3 +179,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = slim.mapInArrow(each, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold. They are judged where they lie: no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _Scorer(shared.value)
+        for batch in batches:
+            scores = [scorer(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)

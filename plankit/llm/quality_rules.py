@@ -81,6 +81,17 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((target + len(raw) * p) / (target.sum() + len(raw)) / p)
 
 
+def judge(text: bytes, ratios: np.ndarray) -> tuple[int, int, int, int, int, float]:
+    """The base counts of a text, and the mean log-ratio of its n-grams (0 if it has none)."""
+    words = Words(text)
+    found = grams(words)
+    return (*base_counts(text, words), float(ratios[found].mean()) if len(found) else 0.0)
+
+
+def base_failed(n_words: int, n_repeat_words: int) -> bool:
+    return n_words < 50 or 100 * n_repeat_words > 50 * n_words
+
+
 def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and llr for each row.
 
@@ -93,11 +104,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
-                words = Words(text or b"")
-                found = grams(words)
-                rows.append((*base_counts(text or b"", words), float(ratios.value[found].mean()) if len(found) else 0.0))
+            rows = [judge(t or b"", ratios.value) for t in batch.column(1).cast(pa.binary()).to_pylist()]
             columns = list(zip(*rows)) or [[]] * 6
             arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr"])
@@ -108,3 +115,16 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
     )
+
+
+def keep(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that apply_rules() keeps. They are judged where they lie: no shuffle of the kept."""
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(multinomials(docs, trusted, id_col, text_col)))
+    place = docs.columns.index(text_col)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [judge(t or b"", ratios.value) for t in batch.column(place).cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array([not base_failed(x[0], x[4]) and x[5] >= threshold for x in found], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
