@@ -20,11 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plankit.llm.scratch import starts, written
-from plankit.llm.tokens import encoder
+from plankit.llm.tokens import encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
-_SLICE = 500
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -42,14 +41,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, "byte_level"), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, "byte_level").many, TaskContext.get().partitionId()
         end, seen = np.asarray([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, _SLICE):
-                some = batch.slice(at, _SLICE)
+            for some in slices(batch, 1):
                 rows = []
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist()):
-                    ids, start = encode(text or b"") + end, 0
+                for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
+                    ids, start = ids + end, 0
                     for i, length in enumerate(cut(len(ids) // 4, capacity)):
                         rows.append((doc, i, start, length, ids[4 * start : 4 * (start + length)], part, int(seen[length])))
                         seen[length] += 1

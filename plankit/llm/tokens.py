@@ -1,96 +1,150 @@
-"""Encoding whole texts with the tokenizers library, each distinct piece of text once per worker.
+"""Encoding whole texts unit by unit, each distinct unit once.
 
 A tokenizer that first splits a text, and then merges inside each part alone, gives a text the ids of
-its parts, one after another. So each part is encoded by the library once and remembered; a text is a
-look-up for each of its parts. What is remembered is bounded; when full, the later half is forgotten.
+its parts, one after another. So a slice of texts is split at spaces by Arrow, its units are
+dictionary-encoded, the distinct ones are encoded (or remembered from before), and an Arrow take()
+lays the ids of all texts side by side. What is remembered is bounded; when full, the later half is
+forgotten.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_REMEMBERED = 800_000
+_REMEMBERED = 1_200_000
 _LONG = 64
+#: Bytes of text that are encoded at a time.
+_SLICE_BYTES = 12 << 20
+# All that any of the libraries at hand takes for white space.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNEVEN = rf"^$|^{_SPACE}|{_SPACE}$| {_SPACE}|{_SPACE} "
 
 
-class Encoder:
-    """Ids of texts, as little-endian unsigned 32-bit bytes. Strings of special tokens are ordinary text."""
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about _SLICE_BYTES of text each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.post_processor = None
-        self.known: dict = {}
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+    known: dict[str, bytes]
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The units of each text."""
+        raise NotImplementedError
 
-    def apart(self, parts: list) -> list[bytes]:
-        """The ids of each of some distinct parts."""
+    def apart(self, units: list[str]) -> list[bytes]:
+        """The ids of each of some distinct units."""
         raise NotImplementedError
 
-    def joined(self, parts: list) -> bytes:
-        """The ids of the parts, one after another."""
-        found = list(map(self.known.get, parts))
-        if None in found:
-            fresh = list(dict.fromkeys(p for p, x in zip(parts, found) if x is None))
+    def many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        lists = self.split(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        units = coded.dictionary.to_pylist()
+        found = list(map(self.known.get, units))
+        fresh = [u for u, x in zip(units, found) if x is None]
+        if fresh:
             learnt = dict(zip(fresh, self.apart(fresh)))
-            found = [learnt[p] if x is None else x for p, x in zip(parts, found)]
+            found = [learnt[u] if x is None else x for u, x in zip(units, found)]
             if len(self.known) + len(learnt) > _REMEMBERED:  # the frequent ones came first, and stay
                 self.known = dict(islice(self.known.items(), _REMEMBERED // 2))
-            if len(learnt) <= _REMEMBERED // 2:
-                self.known |= {p: x for p, x in learnt.items() if len(p) <= _LONG}
-        return b"".join(found)
+            room = max(0, _REMEMBERED - len(self.known))
+            self.known |= {u: x for u, x in islice(learnt.items(), room) if len(u) <= _LONG}
+        laid = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = laid.buffers()
+        starts = np.frombuffer(offsets, np.int64)[laid.offset : laid.offset + len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
+        ends = starts[np.asarray(lists.offsets) - lists.offsets[0].as_py()].tolist()
+        raw = memoryview(data) if data else b""
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def spaced_units(texts: pa.Array) -> pa.ListArray:
+    """Units for a byte-level tokenizer, by whose pattern a word takes a space before it along.
+
+    A space between two characters that are not white space always begins a part of the pattern's. A
+    text whose spaces are all like that is split there; its first unit, which has no space before it,
+    is marked by a line break in front. Another text is a unit by itself, marked by two.
+    """
+    marks = pc.if_else(pc.match_substring_regex(texts, _UNEVEN), "\n\n", "\n")
+    uneven = pc.equal(marks, "\n\n").to_numpy(zero_copy_only=False)
+    if not uneven.any():
+        return pc.split_pattern(pc.binary_join_element_wise("\n", texts, ""), " ")
+    rows = [["\n\n" + t] if odd else ("\n" + t).split(" ") for t, odd in zip(texts.to_pylist(), uneven)]
+    return pa.array(rows, pa.list_(pa.string()))
 
 
-def _slices(ids: np.ndarray, ends: list[int]) -> list[bytes]:
-    raw = ids.tobytes()
+def unit_text(unit: str) -> str:
+    """What a unit of spaced_units() stands for."""
+    return unit[2:] if unit[:2] == "\n\n" else unit[1:] if unit[:1] == "\n" else " " + unit
+
+
+def cut_at(raw: bytes, ends: list[int]) -> list[bytes]:
     return [raw[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
 
-class WordEncoder(Encoder):
+class _Library(Encoder):
+    """By the tokenizers library. Strings of special tokens are ordinary text."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.post_processor = None
+        self.known = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+
+class WordEncoder(_Library):
     """For a tokenizer that drops white space, and so never merges across ASCII white space.
 
     New words are encoded together, with a mark between them that is a token of its own and that none
     of them holds.
     """
 
+    #: Characters to mark the end of a word with; the first that is one token is taken.
+    MARKS = "♥♦☀★✨☕♫"
+
     def __init__(self, path: str):
         super().__init__(path)
-        self.mark, self.mark_id = next((m, int(x[0])) for m in _MARKS if len(x := self.ids(m)) == 1)
+        self.mark, self.mark_id = next((m, int(x[0])) for m in self.MARKS if len(x := self.ids(m)) == 1)
 
-    def apart(self, parts: list[bytes]) -> list[bytes]:
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        if any(self.mark in t for t in texts):
-            return [self.ids(t).tobytes() for t in texts]
-        ids = self.ids(f" {self.mark} ".join([*texts, ""]))
-        marks = np.flatnonzero(ids == self.mark_id)
-        ends = (marks - np.arange(len(marks))).tolist()
-        return _slices(np.delete(ids, marks), ends)
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return pc.ascii_split_whitespace(texts)
 
-    def __call__(self, text: bytes) -> bytes:
-        return self.joined(text.split())
+    def apart(self, units: list[str]) -> list[bytes]:
+        made = []
+        for at in range(0, len(units), 1000):
+            some = units[at : at + 1000]
+            if any(self.mark in u for u in some):
+                made += [self.ids(u).tobytes() for u in some]
+                continue
+            ids = self.ids(f" {self.mark} ".join([*some, ""]))
+            marks = np.flatnonzero(ids == self.mark_id)
+            made += cut_at(np.delete(ids, marks).tobytes(), (marks - np.arange(len(marks))).tolist())
+        return made
 
 
-#: Characters to mark the end of a word with; the first that is one token is taken.
-_MARKS = "♥♦☀★✨☕♫"
-
-
-class ByteLevelEncoder(Encoder):
-    """For a byte-level tokenizer, by whose pattern a word takes a space before it along.
-
-    A space between two characters that are not white space always begins a part of the pattern's. In
-    a text whose spaces are all like that, what follows each is encoded with its space; other texts
-    are encoded as they are. New parts are encoded together, and told apart by the bytes that each
-    token stands for.
-    """
+class ByteLevelEncoder(_Library):
+    """For a byte-level tokenizer. New units are encoded together, and told apart by the bytes that each token stands for."""
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -99,23 +153,24 @@ class ByteLevelEncoder(Encoder):
         for token, i in vocabulary.items():  # each character of a token stands for one byte
             self.sizes[i] = len(token)
 
-    def apart(self, parts: list[str]) -> list[bytes]:
-        ids = self.ids(" " + " ".join(parts))
-        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
-        return _slices(ids, (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist())
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        return spaced_units(texts)
 
-    def __call__(self, text: bytes) -> bytes:
-        decoded = text.decode("utf-8", "replace")
-        parts = decoded.split(" ")
-        if "" in parts or list(map(str.strip, parts)) != parts:
-            return self.ids(decoded).tobytes()
-        return self.ids(parts[0]).tobytes() + self.joined(parts[1:])
+    def apart(self, units: list[str]) -> list[bytes]:
+        made = {u: self.ids(unit_text(u)).tobytes() for u in units if u[:1] == "\n"}
+        rest = [u for u in units if u[:1] != "\n"]
+        for at in range(0, len(rest), 1000):
+            some = rest[at : at + 1000]
+            ids = self.ids(" " + " ".join(some))
+            ends = np.cumsum([len(u.encode()) + 1 for u in some])
+            made |= zip(some, cut_at(ids.tobytes(), (np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1).tolist()))
+        return [made[u] for u in units]
 
 
-KINDS: dict[str, type[Encoder]] = {"byte_level": ByteLevelEncoder, "words": WordEncoder}
+KINDS: dict[str, type[_Library]] = {"byte_level": ByteLevelEncoder, "words": WordEncoder}
 
 
 @cache
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str) -> _Library:
     """One encoder for each worker process, kept from task to task."""
     return KINDS[kind](path)
