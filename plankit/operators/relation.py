@@ -26,7 +26,7 @@ def _order(keys: Order) -> list[Column]:
 
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the size of df."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def _hinted(df: DataFrame) -> DataFrame:
@@ -238,9 +238,11 @@ class Relation:
         self.df.createOrReplaceTempView(name)
         fields = ", ".join(f"`{n}` {kind}" for n, kind in out)
         columns = ", ".join(f"`{c}`" for c in self.df.columns)
-        made = "ROW FORMAT DELIMITED FIELDS TERMINATED BY '{}' LINES TERMINATED BY '\\n'".format(delimiter)
+        text = "ROW FORMAT DELIMITED FIELDS TERMINATED BY '{}' LINES TERMINATED BY '\\n'"
         quoted = command.replace("\\", "\\\\").replace("'", "\\'")
-        query = f"SELECT TRANSFORM({columns}) {made} USING '{quoted}' AS ({fields}) {made} FROM {name}"
+        # the script's output is split by a regular expression
+        expression = "".join(f"[{c}]" if c in "|.*+?()$" else c for c in delimiter)
+        query = f"SELECT TRANSFORM({columns}) {text.format(delimiter)} USING '{quoted}' AS ({fields}) {text.format(expression)} FROM {name}"
         found = self.df.sparkSession.sql(query)
         self.df.sparkSession.catalog.dropTempView(name)
         return Relation(found)

@@ -1,4 +1,8 @@
-"""The registered queries of the algebra, and their SQL."""
+"""The registered queries of the algebra, one or more for each operator, each with its SQL.
+
+All are lazy, read each table once by name, and end in explicit column types, so that the SQL gives
+the same names, types and values.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +11,390 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plankit.functions.registry import FUNCTIONS
+from plankit.operators import nested
+from plankit.operators.relation import Relation
+from plankit.sources.catalog import deleted
+from plankit.streaming.events import windowed_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+col = F.col
+
+
+class Tables:
+    """The tables of a folder, as relations."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> Relation:
+        return Relation(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+
+
+def query(sql: str | None) -> Callable[[Callable[[Tables], Relation]], Callable[[Tables], Relation]]:
+    """Register a function of Tables under its name, with its SQL."""
+
+    def registered(build: Callable[[Tables], Relation]) -> Callable[[Tables], Relation]:
+        QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder)).df
+        if sql:
+            ORACLES[build.__name__] = " ".join(sql.split())
+        return build
+
+    return registered
+
+
+# scans, projections, assignments, filters
+
+
+@query("""SELECT n.n_name, count(*) AS customers, round(sum(c.c_acctbal), 2) AS balance FROM nation n
+          JOIN customer c ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name ORDER BY customers DESC, n.n_name LIMIT 10""")
+def flagship(t):
+    counted = t.customer.group(["c_nationkey"], customers=F.count("*"), total=F.sum("c_acctbal"))
+    named = counted.join(t.nation, col("c_nationkey") == col("n_nationkey"))
+    summed = named.group(["n_name"], customers=F.sum("customers"), balance=F.round(F.sum("total"), 2))
+    return summed.order("-customers", "n_name").limit(10)
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def scan_project(t):
+    return t.customer.project("c_custkey", "c_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 3")
+def select_eq(t):
+    return t.nation.select(FUNCTIONS.call("eq", col("n_nationkey"), 3)).project("n_nationkey", "n_name")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_totalprice > 1000 AND o_orderstatus = 'O') OR NOT (o_custkey >= 10)")
+def select_conjuncts(t):
+    f = FUNCTIONS.call
+    both = f("and", f("gt", col("o_totalprice"), 1000), f("eq", col("o_orderstatus"), "O"))
+    return t.orders.select(f("or", both, f("not", f("ge", col("o_custkey"), 10)))).project("o_orderkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size <= 40 AND p_size >= 5 AND p_partkey < 1500 AND p_partkey > 10 AND p_size <> 7")
+def select_compare_all(t):
+    f = FUNCTIONS.call
+    size, key = col("p_size"), col("p_partkey")
+    return t.part.select(f("and", f("le", size, 40), f("ge", size, 5), f("lt", key, 1500), f("gt", key, 10), f("neq", size, 7))).project("p_partkey")
+
+
+@query("""SELECT c.c_custkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000
+          WHERE o.o_orderkey IS NULL""")
+def select_is_null(t):
+    joined = t.customer.left_outer(t.orders, (col("c_custkey") == col("o_custkey")) & (col("o_totalprice") > 400000))
+    return joined.select(FUNCTIONS.call("is-null", col("o_orderkey"))).project("c_custkey")
+
+
+@query("SELECT n_nationkey, n_nationkey + n_regionkey AS s FROM nation")
+def assign_add(t):
+    return t.nation.assign(s=FUNCTIONS.call("numeric-add", col("n_nationkey"), col("n_regionkey"))).project("n_nationkey", "s")
+
+
+@query("SELECT 400 AS a, 3 AS b")
+def assign_const(t):
+    return Relation.empty_tuple(t.spark).assign(a=400, b=3)
+
+
+@query("SELECT 400 + 3 AS s")
+def assign_subplan_const(t):
+    return Relation.empty_tuple(t.spark).assign(a=400, b=3).assign(s=col("a") + col("b")).project("s")
+
+
+@query("SELECT p_partkey, p_size + 1 AS a, p_size - 1 AS b, p_size * 2 AS c, p_size % 7 AS d FROM part")
+def assign_arith(t):
+    size = col("p_size")
+    return t.part.assign(a=size + 1, b=size - 1, c=size * 2, d=size % 7).project("p_partkey", "a", "b", "c", "d")
+
+
+# joins
+
+
+@query("SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def join_inner(t):
+    return t.orders.join(t.customer, col("o_custkey") == col("c_custkey")).project("o_orderkey", "c_name")
+
+
+@query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def join_broadcast(t):
+    return t.nation.join(t.region, col("n_regionkey") == col("r_regionkey"), hint="broadcast_right").project("n_name", "r_name")
+
+
+@query("SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def join_broadcast_left(t):
+    return t.region.join(t.nation, col("n_regionkey") == col("r_regionkey"), hint="broadcast_left").project("n_name", "r_name")
+
+
+@query("SELECT o.o_orderkey, c.c_mktsegment FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+def join_shuffle_hash(t):
+    return t.orders.join(t.customer, col("o_custkey") == col("c_custkey"), hint="shuffle_hash").project("o_orderkey", "c_mktsegment")
+
+
+@query("SELECT count(*) AS n FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey AND c.c_custkey = s.s_suppkey")
+def join_multi_key(t):
+    return t.customer.join(t.supplier, (col("c_nationkey") == col("s_nationkey")) & (col("c_custkey") == col("s_suppkey"))).aggregate(n=F.count("*"))
+
+
+@query("SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey")
+def join_left_outer(t):
+    return t.customer.left_outer(t.orders, col("c_custkey") == col("o_custkey")).project("c_custkey", "o_orderkey")
+
+
+@query("SELECT n.n_nationkey, c.c_custkey FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey AND c.c_acctbal > 9000")
+def join_left_outer_residual(t):
+    on = (col("n_nationkey") == col("c_nationkey")) & (col("c_acctbal") > 9000)
+    return t.nation.left_outer(t.customer, on).project("n_nationkey", "c_custkey")
+
+
+@query("SELECT n.n_nationkey, c.c_custkey FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey WHERE c.c_acctbal > 9000")
+def join_left_outer_where(t):
+    return t.nation.left_outer(t.customer, col("n_nationkey") == col("c_nationkey")).select(col("c_acctbal") > 9000).project("n_nationkey", "c_custkey")
+
+
+@query("SELECT n.n_nationkey, r.r_regionkey FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey")
+def join_theta(t):
+    return t.nation.join(t.region, col("n_regionkey") < col("r_regionkey")).project("n_nationkey", "r_regionkey")
+
+
+@query("SELECT n.n_nationkey, r.r_regionkey FROM nation n LEFT JOIN region r ON n.n_regionkey < r.r_regionkey")
+def join_theta_left(t):
+    return t.nation.left_outer(t.region, col("n_regionkey") < col("r_regionkey")).project("n_nationkey", "r_regionkey")
+
+
+@query("SELECT n.n_nationkey, r.r_regionkey FROM nation n CROSS JOIN region r")
+def join_product(t):
+    return t.nation.join(t.region).project("n_nationkey", "r_regionkey")
+
+
+@query("""SELECT r.r_name, count(*) AS n FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey
+          JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY r.r_name""")
+def join_three_way(t):
+    places = t.region.join(t.nation, col("r_regionkey") == col("n_regionkey"))
+    return t.customer.join(places, col("c_nationkey") == col("n_nationkey")).group(["r_name"], n=F.count("*"))
+
+
+@query("SELECT c.c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def join_semi(t):
+    return nested.exists(t.customer, t.orders, {"c_custkey": "o_custkey"}).project("c_custkey")
+
+
+# aggregation
+
+
+@query("SELECT count(*) AS n FROM customer")
+def agg_count(t):
+    return t.customer.aggregate(n=FUNCTIONS.call("count"))
+
+
+@query("SELECT count(*) AS n, sum(c_acctbal) AS s FROM customer WHERE c_custkey < 0")
+def agg_empty(t):
+    return t.customer.select(col("c_custkey") < 0).aggregate(n=F.count("*"), s=F.sum("c_acctbal"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+def group_count(t):
+    return t.customer.group(["c_nationkey"], n=F.count("*"))
+
+
+@query("SELECT c_nationkey, count(*) AS n FROM customer WHERE c_custkey < 0 GROUP BY c_nationkey")
+def group_empty(t):
+    return t.customer.select(col("c_custkey") < 0).group(["c_nationkey"], n=F.count("*"))
+
+
+@query("SELECT p_size % 5 AS k, count(*) AS n FROM part GROUP BY p_size % 5")
+def group_expr_key(t):
+    return t.part.group({"k": col("p_size") % 5}, n=F.count("*"))
+
+
+@query("""SELECT n.n_nationkey, n.n_name, count(*) AS n FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
+          GROUP BY n.n_nationkey, n.n_name""")
+def group_decor(t):
+    return t.customer.join(t.nation, col("c_nationkey") == col("n_nationkey")).group(["n_nationkey"], decor=["n_name"], n=F.count("*"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q, min(l_extendedprice) AS lo,
+          max(l_extendedprice) AS hi FROM lineitem GROUP BY l_returnflag, l_linestatus""")
+def group_multi_agg(t):
+    price = col("l_extendedprice")
+    return t.lineitem.group(["l_returnflag", "l_linestatus"], n=F.count("*"), q=F.round(F.sum("l_quantity"), 2), lo=F.min(price), hi=F.max(price))
+
+
+@query("SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) AS n FROM orders GROUP BY o_custkey")
+def group_filtered_agg(t):
+    return t.orders.group(["o_custkey"], f=F.count_if(col("o_orderstatus") == "F"), n=F.count("*"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12")
+def group_having(t):
+    return t.orders.group(["o_custkey"], n=F.count("*")).select(col("n") > 12)
+
+
+@query("""SELECT o_orderstatus, count(*) AS custs, max(n) AS most FROM
+          (SELECT o_orderstatus, o_custkey, count(*) AS n FROM orders GROUP BY o_orderstatus, o_custkey) t GROUP BY o_orderstatus""")
+def group_nested(t):
+    return t.orders.group_nested(["o_orderstatus"], ["o_custkey"], {"n": F.count("*")}, custs=F.count("*"), most=F.max("n"))
+
+
+@query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def distinct_all(t):
+    return t.orders.project("o_orderstatus", "o_orderpriority").distinct()
+
+
+@query("""SELECT c_nationkey, c_custkey, c_name FROM
+          (SELECT c.*, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn FROM customer c) t WHERE rn = 1""")
+def distinct_by_key(t):
+    return t.customer.distinct(["c_nationkey"], order=["c_custkey"]).project("c_nationkey", "c_custkey", "c_name")
+
+
+# running functions
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS rn FROM orders")
+def running_count(t):
+    return t.orders.project("o_orderkey").running(["o_orderkey"], rn=("running-count",))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders")
+def running_count_part(t):
+    return t.orders.project("o_orderkey", "o_custkey").running(["o_orderkey"], ["o_custkey"], rn=("running-count",))
+
+
+@query("""SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey
+          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS s FROM orders""")
+def running_sum(t):
+    made = t.orders.running(["o_orderkey"], ["o_custkey"], total=("running-sum", "o_totalprice"))
+    return made.assign(s=F.round("total", 2)).project("o_orderkey", "s")
+
+
+# order and limits
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey ASC, c_custkey DESC")
+def order_multi(t):
+    return t.customer.project("c_custkey", "c_nationkey").order("c_nationkey", "-c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
+def topk(t):
+    return t.orders.project("o_orderkey", "o_totalprice").order("-o_totalprice", "o_orderkey").limit(5)
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5 OFFSET 3")
+def limit_offset(t):
+    return t.customer.project("c_custkey").order("c_custkey").limit(5, offset=3)
+
+
+@query("""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) t WHERE rn <= 2""")
+def limit_per_group(t):
+    return t.orders.project("o_custkey", "o_orderkey").limit_per(["o_custkey"], ["o_orderkey"], 2)
+
+
+@query("SELECT c_custkey FROM (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_custkey LIMIT 100) t WHERE c_nationkey = 3")
+def select_above_limit(t):
+    return t.customer.project("c_custkey", "c_nationkey").order("c_custkey").limit(100).select(col("c_nationkey") == 3).project("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey < 100")
+def die_not_reached(t):
+    return t.customer.select(col("c_custkey") < 100).project("c_custkey").die(100, ["c_custkey"])
+
+
+# unions, replicas, branches
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey AS k FROM supplier")
+def union_all(t):
+    return t.customer.union_all(t.supplier, [("c_nationkey", "s_nationkey", "k")])
+
+
+@query("""SELECT a.o_custkey, a.n, b.total FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) a
+          JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey) b ON a.o_custkey = b.o_custkey""")
+def replicate_self_join(t):
+    orders = t.orders.project("o_custkey", "o_totalprice")
+    return orders.group(["o_custkey"], n=F.count("*")).join(orders.group(["o_custkey"], total=F.round(F.sum("o_totalprice"), 2)), ["o_custkey"])
+
+
+@query("""SELECT CASE WHEN o_totalprice < 1000 THEN 0 WHEN o_orderstatus = 'O' THEN 1 ELSE 2 END AS branch, count(*) AS n
+          FROM orders GROUP BY 1""")
+def partition_split(t):
+    return t.orders.split(col("o_totalprice") < 1000, col("o_orderstatus") == "O").group(["branch"], n=F.count("*"))
+
+
+# unnesting and subplans
+
+
+@query("SELECT vec_id, unnest(embedding) AS x FROM embeddings")
+def unnest(t):
+    return t.embeddings.unnest("x", "embedding").project("vec_id", "x")
+
+
+@query("""SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings""")
+def unnest_positional(t):
+    return t.embeddings.unnest("x", "embedding", position="pos").project("vec_id", "pos", "x")
+
+
+@query("SELECT x FROM (SELECT unnest([100, 200, 300]) AS x) t")
+def unnest_const(t):
+    return Relation.empty_tuple(t.spark).unnest_call("x", "scan-collection", F.array(F.lit(100), F.lit(200), F.lit(300)))
+
+
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT n_regionkey AS k, n_name AS v FROM nation")
+def unnest_map(t):
+    pairs = F.array(F.struct(col("n_nationkey").alias("k"), col("n_name").alias("v")), F.struct(col("n_regionkey").alias("k"), col("n_name").alias("v")))
+    return t.nation.unnest_map(pairs)
+
+
+@query("SELECT c.c_custkey, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS n FROM customer c")
+def subplan_scalar_agg(t):
+    return nested.subplan_aggregate(t.customer, t.orders, {"c_custkey": "o_custkey"}, {"n": 0}, n=F.count("*")).project("c_custkey", "n")
+
+
+@query("""SELECT c.c_custkey, x.ok FROM customer c LEFT JOIN LATERAL
+          (SELECT o.o_orderkey AS ok FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000) x ON true""")
+def subplan_null_extend(t):
+    body = lambda r: r.select(col("o_totalprice") > 400000).assign(ok=col("o_orderkey"))
+    return nested.subplan(t.customer, t.orders, {"c_custkey": "o_custkey"}, body).project("c_custkey", "ok")
+
+
+@query("""SELECT c.c_custkey, x.o_orderkey FROM customer c LEFT JOIN (SELECT o_custkey, o_orderkey,
+          row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) x
+          ON x.o_custkey = c.c_custkey AND x.rn <= 3""")
+def subplan_limit(t):
+    return nested.subplan(t.customer, t.orders, {"c_custkey": "o_custkey"}, limit=3, order=["-o_totalprice", "o_orderkey"]).project("c_custkey", "o_orderkey")
+
+
+@query("SELECT n.n_nationkey, (SELECT count(*) FROM region) AS regions FROM nation n")
+def subplan_uncorrelated(t):
+    return nested.subplan_aggregate(t.nation, t.region, {}, regions=F.count("*")).project("n_nationkey", "regions")
+
+
+# changes
+
+
+@query("""SELECT o.o_orderkey FROM orders o WHERE NOT EXISTS
+          (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey = 3)""")
+def delete_by_key(t):
+    gone = t.customer.select(col("c_nationkey") == 3).df
+    return Relation(deleted(t.orders.df, gone, [("o_custkey", "c_custkey")])).project("o_orderkey")
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation WHERE n_nationkey > 20")
+def insert_rows(t):
+    added = t.nation.select(col("n_nationkey") > 20)
+    return t.region.union_all(added, [("r_regionkey", "n_nationkey", "r_regionkey"), ("r_name", "n_name", "r_name")])
+
 
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# scripts, and extras beyond the algebra
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    n, c = _t(spark, d, "nation"), _t(spark, d, "customer")
-    return (
-        n.join(c, n.n_nationkey == c.c_nationkey)
-        .groupBy("n_name")
-        .agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-        .orderBy(F.desc("customers"), "n_name")
-        .limit(10)
-    )
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation")
+def script_identity(t):
+    return t.nation.project("n_nationkey", "n_name").script("cat", [("k", "int"), ("v", "string")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"flagship": flagship}
-ORACLES: dict[str, str] = {
-    "flagship": "SELECT n.n_name, count(*) AS customers, round(sum(c.c_acctbal),2) AS balance FROM nation n JOIN customer c ON n.n_nationkey = c.c_nationkey GROUP BY n.n_name ORDER BY customers DESC, n.n_name LIMIT 10",
-}
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def event_windows(t):
+    return Relation(windowed_counts(t.events.df))
