@@ -1,10 +1,10 @@
 """Main text of web pages by a graphical model on the DOM tree.
 
-Each block element of a page is a variable: content or not. Its potential comes from what is seen of
-it (tag, words of class, id and role, share of text in links, form controls); an edge potential
-couples it with its parent. The graph is a tree, so sum-product messages, once upward and once
-downward, give the exact marginals. Both kinds of potentials are counted, with smoothing, from
-labelled pages: pages whose elements say in a data-label attribute whether they are content.
+Each block element of a page is a variable: content or not. A potential on each edge of the tree
+couples it with its parent, given what is seen of it (tag, words of class, id and role, share of text
+in links, form controls). The graph is a tree, so sum-product messages, once upward and once downward,
+give the exact marginals. The potentials are counted, with smoothing, from labelled pages: pages whose
+elements say in a data-label attribute whether they are content.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ class Block:
 
 
 def _seen(tag: str, attributes: str) -> tuple[list[str], int | None]:
-    seen, label = [f"tag {tag}"], None
+    seen, label = [], None
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes) if attributes.strip(" /\t\r\n") else ():
         name, value = (name or bare).lower(), a or b or c
         if name in _NAMED:
@@ -63,7 +63,7 @@ def _seen(tag: str, attributes: str) -> tuple[list[str], int | None]:
 
 def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
     """The block elements of a page (0: the page itself), and its runs of text: (block, pieces) in page order."""
-    blocks = [Block(-1, "#page", ["tag #page"], None)]
+    blocks = [Block(-1, "#page", [], None)]
     runs: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, inline ones too; the block each is in
     links, now, pieces, at = 0, 0, [], 0
@@ -152,7 +152,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
 
 
 def _features(blocks: list[Block]) -> None:
-    """Add to what is seen of each block the share of links and the controls in all that it holds."""
+    """Add to what is seen of each block its tag with the share of links, and the controls, in all that it holds."""
     chars, links, controls = ([getattr(b, k) for b in blocks] for k in ("chars", "link_chars", "controls"))
     for i in range(len(blocks) - 1, 0, -1):
         parent = blocks[i].parent
@@ -160,48 +160,60 @@ def _features(blocks: list[Block]) -> None:
         links[parent] += links[i]
         controls[parent] += controls[i]
     for i, b in enumerate(blocks):
-        if chars[i]:
-            b.seen.append(f"links {min(3, 4 * links[i] // chars[i])}")
+        b.seen.append(f"{b.tag} links {min(3, 4 * links[i] // chars[i])}" if chars[i] else b.tag)
         if controls[i]:
             b.seen.append("controls")
 
 
 class Model:
-    """Log-potentials: by what is seen, how much more it speaks for content; and of (parent, child) labels."""
+    """Edge potentials. seen: by what is seen of a block, its log-likelihood for each (parent's label, own
+    label), in the order (0,0), (0,1), (1,0), (1,1); edges: the log-probabilities of those pairs of labels.
 
-    def __init__(self, seen: dict[str, float], edges: list[list[float]]):
+    What is seen of a block thus speaks for its label given its parent's: a list in a menu looks like
+    a menu, a list in an article like an article. The page itself counts as a child of content.
+    """
+
+    def __init__(self, seen: dict[str, tuple[float, ...]], edges: tuple[float, ...]):
         self.seen, self.edges = seen, edges
 
+    def potentials(self, block: Block) -> tuple[float, ...]:
+        """The block's potential for each pair of labels, the largest of them 1."""
+        a, b, c, d = self.edges
+        for s in block.seen:
+            if (x := self.seen.get(s)) is not None:
+                a, b, c, d = a + x[0], b + x[1], c + x[2], d + x[3]
+        top = max(a, b, c, d)
+        return exp(max(a - top, -60.0)), exp(max(b - top, -60.0)), exp(max(c - top, -60.0)), exp(max(d - top, -60.0))
+
     def marginals(self, blocks: list[Block]) -> list[float]:
         """For each block, the probability that it is content."""
         n = len(blocks)
-        ratio = [max(-12.0, min(12.0, sum(self.seen.get(s, 0.0) for s in b.seen))) for b in blocks]
-        (e00, e01), (e10, e11) = self.edges
-        up = [(1.0, exp(r)) for r in ratio]  # own potential times the messages of the children so far
-        message = [(1.0, 1.0)] * n
+        edge = [self.potentials(b) for b in blocks]
+        below = [(1.0, 1.0)] * n  # the product of the messages from a block's children
+        message = [(1.0, 1.0)] * n  # from a block to its parent
         for i in range(n - 1, 0, -1):
-            a, b = up[i]
-            m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
+            a, b, c, d = edge[i]
+            x0, x1 = below[i]
+            m0, m1 = a * x0 + b * x1, c * x0 + d * x1
             scale = m0 + m1
             message[i] = m0, m1 = m0 / scale, m1 / scale
-            p0, p1 = up[blocks[i].parent]
+            p0, p1 = below[blocks[i].parent]
             p0, p1 = p0 * m0, p1 * m1
             scale = p0 + p1
-            up[blocks[i].parent] = (p0 / scale, p1 / scale)
-        belief = [0.0] * n
-        full = list(up)  # the belief of each block: what comes from above included
+            below[blocks[i].parent] = (p0 / scale, p1 / scale)
+        belief = [(0.0, 1.0)] * n
         for i in range(n):
             if i:
-                q0, q1 = full[blocks[i].parent]
+                q0, q1 = belief[blocks[i].parent]
                 m0, m1 = message[i]
-                q0, q1 = q0 / max(m0, 1e-300), q1 / max(m1, 1e-300)
-                scale = q0 + q1
-                q0, q1 = q0 / scale, q1 / scale
-                a, b = up[i]
-                a, b = a * (q0 * e00 + q1 * e10), b * (q0 * e01 + q1 * e11)
-                full[i] = (a / (a + b), b / (a + b))
-            belief[i] = full[i][1] / (full[i][0] + full[i][1])
-        return belief
+                q0, q1 = q0 / max(m0, 1e-300), q1 / max(m1, 1e-300)  # the parent's belief but for this block
+            else:
+                q0, q1 = 0.0, 1.0
+            a, b, c, d = edge[i]
+            x0, x1 = below[i]
+            x0, x1 = x0 * (q0 * a + q1 * c), x1 * (q0 * b + q1 * d)
+            belief[i] = (x0 / (x0 + x1), x1 / (x0 + x1))
+        return [b[1] for b in belief]
 
 
 def train(pages: list[str], weight: float = 0.5) -> Model:
@@ -209,21 +221,20 @@ def train(pages: list[str], weight: float = 0.5) -> Model:
 
     weight: the counts added to each feature's, for and against.
     """
-    seen = {0: Counter(), 1: Counter()}
-    total, pairs = Counter(), Counter()
+    pairs = [(0, 0), (0, 1), (1, 0), (1, 1)]
+    seen, total = {p: Counter() for p in pairs}, Counter()
     for page in pages:
         blocks, _ = parse(page)
         _features(blocks)
         for b in blocks:
-            b.label = b.label if b.label is not None else 1 if b.parent < 0 else blocks[b.parent].label
-            if b.parent < 0 or blocks[b.parent].label:  # below what is no content, the edges alone decide
-                total[b.label] += 1
-                seen[b.label].update(b.seen)
-            if b.parent >= 0:
-                pairs[blocks[b.parent].label, b.label] += 1
-    ratios = {s: log((seen[1][s] + weight) / (total[1] + 2 * weight)) - log((seen[0][s] + weight) / (total[0] + 2 * weight)) for s in seen[0] | seen[1]}
-    edges = [[(pairs[p, c] + weight) / (pairs[p, 0] + pairs[p, 1] + 2 * weight) for c in (0, 1)] for p in (0, 1)]
-    return Model(ratios, edges)
+            above = 1 if b.parent < 0 else blocks[b.parent].label
+            b.label = b.label if b.label is not None else above
+            total[above, b.label] += 1
+            seen[above, b.label].update(b.seen)
+    known = set().union(*seen.values())
+    likelihood = {s: tuple(log((seen[p][s] + weight) / (total[p] + 2 * weight)) for p in pairs) for s in known}
+    edges = tuple(log((total[p] + weight) / (total[p[0], 0] + total[p[0], 1] + 2 * weight)) for p in pairs)
+    return Model(likelihood, edges)
 
 
 def main_text(page: str, model: Model) -> str:
@@ -235,7 +246,7 @@ def main_text(page: str, model: Model) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
     """Pages to train on: articles among menus, notices, adverts, forms and comments, in semantic and in plain markup."""
     rng = random.Random(seed)
 
@@ -306,9 +317,9 @@ def labelled_pages(count: int = 300, seed: int = 11) -> list[str]:
         before = "".join(furniture() for _ in range(rng.randint(0, 4)))
         after = "".join(furniture() for _ in range(rng.randint(0, 3))) + (comments() if rng.random() < 0.4 else "")
         inner = before + article() + after
-        if rng.random() < 0.3:
-            inner = mark("div", inner, 1, rng.choice(("page", "wrapper", "container", "site", "layout")))
-        made.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{inner}</body></html>")
+        for _ in range(rng.choice((0, 0, 1, 1, 2))):
+            inner = mark("div", inner, 1, rng.choice(("", "page", "wrapper", "container", "site", "layout", "row", "app", "root")))
+        made.append(f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{inner}</body></html>" if rng.random() < 0.8 else inner)
     return made
 
 
