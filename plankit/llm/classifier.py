@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.texts import Words, bucket, pair_hashes
 
 #: The hash table has 2**18 rows.
@@ -177,7 +178,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = slim.mapInArrow(each, "doc_id long, score double")
+    scored = map_arrow(slim, each, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -192,4 +193,4 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
             scores = [scorer(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return map_arrow(docs, each, docs.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
+
 # Fixed values of the HTML standard: elements without an end, elements whose text is not parsed,
 # elements that stand in lines of text, and which open elements a start tag ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -341,4 +343,4 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
                 yield pa.RecordBatch.from_arrays(arrays, ["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return slim.mapInArrow(each, "page_id long, url string, text string, n_chars long")
+    return map_arrow(slim, each, "page_id long, url string, text string, n_chars long")

@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import starts, written
 from plankit.llm.tokens import encoder, slices
 
@@ -56,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _PIECE)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(each, "doc_id long, piece int, start long, length long, ids binary, part long, nth long")
+    return map_arrow(slim, each, "doc_id long, piece int, start long, length long, ids binary, part long, nth long")
 
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
@@ -103,9 +104,17 @@ class _Sums:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns and how often each is used; they consume exactly the counts of pieces by length.
 
-    Each step exhausts a length or a group of open sequences, so there are a few patterns for each
-    length at most.
+    Combinations that use up short pieces can leave long ones alone, so the plan is made with up to
+    three, two and one pieces in a gap; that of fewest sequences is taken, of equals the first. Each
+    step exhausts a length or a group of open sequences, so there are a few patterns for each length
+    at most, whatever the counts.
     """
+    made = [_plan(counts, capacity, most) for most in (3, 2, 1)]
+    return min(made, key=lambda patterns: sum(times for _, times in patterns))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with exact combinations of up to ``most`` pieces in a gap."""
     given = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         given[length] = n
@@ -113,7 +122,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     given[capacity] = 0
     sums = _Sums(given)
     for length in range(capacity - 1, 0, -1):
-        for find in (sums.single, sums.pair, sums.triple):
+        for find in (sums.single, sums.pair, sums.triple)[:most]:
             while sums.left[length]:
                 sums.left[length] -= 1
                 rest = find(capacity - length)
@@ -183,7 +192,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
     schema = ranked.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return ranked.mapInArrow(each, schema)
+    return map_arrow(ranked, each, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow, ship
 from plankit.llm.scratch import written
 
 #: Pivots: a bounded sample, those vectors first in the order of a hash of their id.
@@ -71,7 +72,7 @@ def represented(of: DataFrame, pivots: np.ndarray, length: int, extra: str) -> D
             arrays = [pa.array([p.tobytes() for p in points], pa.binary()) if c == "v" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([o.tobytes() for o in order], pa.binary())], [*names, "near"])
 
-    return of.mapInArrow(each, f"{extra}, near binary")
+    return map_arrow(of, each, f"{extra}, near binary")
 
 
 def _search_block(index: pa.Table, queries: pa.Table, pivots: int, bound: float, answers: int) -> pa.Table:
@@ -143,6 +144,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     def cell(some: pa.Table, them: pa.Table) -> pa.Table:
         return _search_block(some, them, len(base), bound, k + 1) if some.num_rows and them.num_rows else _FOUND.empty_table()
 
+    ship(spark)
     keys = ["block", "query_block"]
     near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, "qid long, cid long, ids array<long>, score double")
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "cid")

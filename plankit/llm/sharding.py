@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import starts, written
 
 SHARDS = 16
@@ -107,7 +108,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     digest = F.concat(F.md5(text.cast("binary")), F.lit("-"), size.cast("string"))
     rows, _ = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("grp")), "rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    local, _ = written(groups.mapInArrow(_difference_groups(shards), "grp string, bytes long, task long, bin int"), "groups")
+    local, _ = written(map_arrow(groups, _difference_groups(shards), "grp string, bytes long, task long, bin int"), "groups")
     # shards numbers for each task that held groups
     sums: dict[int, list[int]] = {}
     for r in local.groupBy("task", "bin").agg(F.sum("bytes").alias("n")).orderBy("task", "bin").collect():
@@ -115,9 +116,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     places = differencing(list(sums.values()))
     final = spark.createDataFrame([(t, b, p) for t, row in zip(sums, places) for b, p in enumerate(row)], "task long, bin int, shard int")
     placed = local.join(final, ["task", "bin"]).select("grp", "shard")
-    dealt, _ = written(
-        rows.join(placed, "grp").drop("grp").mapInArrow(_counted(shards), "doc_id long, size long, text_crc32 long, shard int, part long, nth long"), "dealt"
-    )
+    sized = rows.join(placed, "grp").drop("grp")
+    dealt, _ = written(map_arrow(sized, _counted(shards), "doc_id long, size long, text_crc32 long, shard int, part long, nth long"), "dealt")
     counts = dealt.groupBy("part", "shard").agg(F.count("*").alias("_n"))
     base = starts(counts, ["part"], "_n", "_base", by=["shard"]).select("part", "shard", "_base")
     slotted = dealt.join(base, ["part", "shard"])

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.components import components
 from plankit.llm.scratch import written
 
@@ -55,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], ["doc_id", "fp"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(each, "doc_id long, fp long")
+    return map_arrow(slim, each, "doc_id long, fp long")
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -128,5 +129,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, radius)
     first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    named = docs.where(F.col(id_col).isNotNull()).join(first.hint("merge"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
