@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import written
 
 ARCHIVE_BYTES = 16 << 20
@@ -91,10 +92,10 @@ def write_archives(found: DataFrame, path: str, total_bytes: int, archive_bytes:
     """Write records (as of records()) to path, each payload once. total_bytes: of all payloads."""
     files = max(1, math.ceil(total_bytes / archive_bytes))
     headers = found.select("page_id", "payload_digest", "payload_bytes")
-    again = revisits(headers, min_payload).withColumnsRenamed({"page_id": "_id", "payload_digest": "_digest"})
-    dealt = found.repartition(files, "payload_digest", "page_id")
-    on = (F.col("payload_digest") == F.col("_digest")) & F.col("page_id").eqNullSafe(F.col("_id"))
-    out = dealt.join(again, on, "left").select(record_bytes(date).cast("string").alias("value"))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key")  # never null, so records are dealt out once
+    again = revisits(headers, min_payload).select("payload_digest", key, "refers_to")
+    dealt = found.withColumn("_key", key).repartition(files, "payload_digest", "_key")
+    out = dealt.join(again, ["payload_digest", "_key"], "left").select(record_bytes(date).cast("string").alias("value"))
     out.write.option("lineSep", _END).option("compression", "gzip").text(path)
 
 
@@ -157,7 +158,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(each, schema)
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), each, schema)
 
 
 def archive(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
