@@ -54,3 +54,12 @@ def subplan(outer: Relation, inner: Relation, keys: dict[str, str], body: Callab
 def exists(outer: Relation, inner: Relation, keys: dict[str, str], negated: bool = False) -> Relation:
     """Outer rows for which the nested plan has a row; negated: has none."""
     return Relation(outer.df.join(inner.df, _tied(outer.df, inner.df, keys), "left_anti" if negated else "left_semi"))
+
+
+def lateral(outer: Relation, body: Relation, keep_unmatched: bool = True) -> Relation:
+    """Each outer row with each row of any nested plan over it, or with nulls where that has none.
+
+    The body names outer columns as F.col("name").outer(); Catalyst rewrites it to joins, or rejects
+    what it cannot. keep_unmatched: false drops the outer rows whose plan has no row.
+    """
+    return Relation(outer.df.lateralJoin(body.df, F.lit(True), "left" if keep_unmatched else "inner"))

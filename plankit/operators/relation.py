@@ -207,6 +207,11 @@ class Relation:
             raise TypeError(f"{function} does not unnest")
         return self.unnest(out, made(*args))
 
+    def unnest_table(self, function: Callable, *arguments: str | Column) -> Relation:
+        """Each row with each row that a user-defined table function makes of it; none drops the row."""
+        columns = [F.col(a) if isinstance(a, str) else a for a in arguments]
+        return Relation(self.df.lateralJoin(function(*[c.outer() for c in columns])))
+
     def unnest_map(self, structs: str | Column) -> Relation:
         """The fields of each struct of an array as a row of their own; input columns are not kept."""
         return Relation(self.df.select(F.inline(F.col(structs) if isinstance(structs, str) else structs)))

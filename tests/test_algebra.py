@@ -206,6 +206,19 @@ def test_registered_functions(people):
         FUNCTIONS.call("missing")
 
 
+def test_table_functions_and_lateral_bodies(people, nations):
+    @F.udtf(returnType="y int")
+    class Countdown:
+        def eval(self, x: int):
+            for y in range(x, 3):
+                yield (y,)
+
+    assert sorted(rows(people.unnest_table(Countdown, "id").project("id", "y"))) == [(1, 1), (1, 2), (2, 2)]
+    body = people.select((col("nation") == col("key").outer()) & (col("balance") > 15)).project("id")
+    assert sorted(rows(nested.lateral(nations, body).project("key", "id")), key=repr) == [(3, 2), (5, 5), (7, None), (None, None)]
+    assert sorted(rows(nested.lateral(nations, body, keep_unmatched=False).project("key", "id"))) == [(3, 2), (5, 5)]
+
+
 # plans
 
 
