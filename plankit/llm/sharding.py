@@ -60,18 +60,23 @@ def differencing(parts: list[list[int]]) -> list[list[int]]:
 
 
 def _difference_groups(shards: int):
+    """Groups in, groups with their bin out. Each batch is differenced to one partial partition, and those again.
+
+    So the costly state is that of a batch; of the others a task holds the rows as they came, and a bin each.
+    """
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        keys, sizes = [], []
+        held, bins, parts = [], [], []
         for batch in batches:
-            keys += batch.column(0).to_pylist()
-            sizes += batch.column(1).to_pylist()
-        # a group is a partial partition with one sum; its other sums are nothing
-        places = differencing([[s] + [0] * (shards - 1) for s in sizes])
-        for at in range(0, len(keys), 50_000):
-            some = slice(at, at + 50_000)
-            n = len(keys[some])
-            arrays = [pa.array(keys[some], pa.string()), pa.array(sizes[some], pa.int64()), pa.array([task] * n, pa.int64()), pa.array([p[0] for p in places[some]], pa.int32())]
+            sizes = batch.column(1).to_numpy()
+            # a group is a partial partition with one sum; its other sums are nothing
+            found = np.asarray([p[0] for p in differencing([[s] + [0] * (shards - 1) for s in sizes.tolist()])], np.int32)
+            held.append(batch)
+            bins.append(found)
+            parts.append([int(sizes[found == b].sum()) for b in range(shards)])
+        for batch, found, places in zip(held, bins, differencing(parts)):
+            arrays = [batch.column(0), batch.column(1), pa.array(np.full(len(found), task)), pa.array(np.asarray(places, np.int32)[found])]
             yield pa.RecordBatch.from_arrays(arrays, ["grp", "bytes", "task", "bin"])
 
     return each
