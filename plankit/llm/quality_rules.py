@@ -1,19 +1,23 @@
 """Quality rules: plain counts of a text, then a hashed n-gram log-likelihood ratio.
 
-Two multinomials over hash buckets of word 1- and 2-grams are counted over the whole corpus: of all
+Two multinomials over hash buckets of token 1- and 2-grams are counted over the whole corpus: of all
 documents (raw), and of the trusted ones (target). A document's score is the mean over its n-grams
 of log(p_target / p_raw), so that long and short texts compare; it is kept at the threshold or above.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.texts import Words, bucket, pair_hashes
 
 #: Buckets of the multinomials: 2**14, of fixed size whatever the corpus.
@@ -21,14 +25,26 @@ BITS = 14
 #: Mean log-ratio below which a document goes.
 THRESHOLD = -0.35
 SYMBOLS = b"#*$%&|<>"
+_TOKENS = re.compile(rb"[!-/:-@\[-`{-~]+|[^!-/:-@\[-`{-~]+").findall
 _NOT_COUNTED = bytes(range(0x80, 0xC0)) + b" \t\n\r\x0b\x0c"  # the later bytes of a code point; white space
 _SCORED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
 
 
 def grams(words: Words) -> np.ndarray:
-    """The bucket of each word and of each two neighbouring words."""
-    hashes = words.hashes()[words.at] if len(words.at) else np.zeros(0, np.uint64)
-    return bucket(np.concatenate([hashes, pair_hashes(hashes)]) if len(hashes) else hashes, BITS)
+    """The bucket of each token and of each two neighbouring tokens.
+
+    A word's tokens are its runs of ASCII punctuation and of other characters.
+    """
+    if not len(words.at):
+        return np.zeros(0, np.int64)
+    split = list(map(_TOKENS, words.distinct))
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    flat = list(chain.from_iterable(split))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat, repeat(0)), np.uint64, len(flat))
+    each = sizes[words.at]
+    first = (np.cumsum(sizes) - sizes)[words.at]
+    hashes = hashes[np.repeat(first - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    return bucket(np.concatenate([hashes, pair_hashes(hashes)]), BITS)
 
 
 def base_counts(text: bytes, words: Words) -> tuple[int, int, int, int, int]:
@@ -46,7 +62,8 @@ def base_counts(text: bytes, words: Words) -> tuple[int, int, int, int, int]:
 def multinomials(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket long, raw long, target long): n-grams by bucket, of all documents and of the trusted ones.
 
-    Each task counts into two arrays of 2**BITS and sends those of its sums that are not zero.
+    Each task counts into two arrays of 2**BITS and sends those of its sums that are not zero. The
+    trusted ids grow with the corpus, so they are never broadcast: both sides are merged by id.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,8 +78,8 @@ def multinomials(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     good = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_good", F.lit(True))
-    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(good, "_id", "left").select("_text", "_good")
-    counted = marked.mapInArrow(count, "bucket long, raw long, target long")
+    marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(good.hint("merge"), "_id", "left").select("_text", "_good")
+    counted = map_arrow(marked, count, "bucket long, raw long, target long")
     return counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -111,7 +128,7 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", tex
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    scored = slim.mapInArrow(score, _SCORED).withColumn("base_failed", failed)
+    scored = map_arrow(slim, score, _SCORED).withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr"
     )
@@ -127,4 +144,4 @@ def keep(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
             found = [judge(t or b"", ratios.value) for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([not base_failed(x[0], x[4]) and x[5] >= threshold for x in found], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return map_arrow(docs, each, docs.schema)

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import repeat
-
 import numpy as np
-import xxhash
 
 
 class Words:
@@ -24,10 +21,6 @@ class Words:
             self.distinct[word] = i
         self.at = np.fromiter(map(self.distinct.__getitem__, words), np.int64, len(words))
 
-    def hashes(self) -> np.ndarray:
-        """XXH64 of each distinct word."""
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.distinct, repeat(0)), np.uint64, len(self.distinct))
-
     def repeated(self, size: int = 3) -> int:
         """Words that lie in a window of ``size`` words found twice or more in the text."""
         n = len(self.at)
