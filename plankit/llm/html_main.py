@@ -69,6 +69,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
     runs: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, inline ones too; the block each is in
     links, now, pieces, at = 0, 0, [], 0
+    opened = Counter()  # open elements by tag, so that an end tag without a start is not looked for
 
     def broken() -> None:
         nonlocal pieces
@@ -80,6 +81,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
         nonlocal now, links
         for tag, _ in stack[depth:]:
             links -= tag == "a"
+            opened[tag] -= 1
         del stack[depth:]
         now = stack[-1][1]
 
@@ -101,7 +103,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
             continue
         tag = tag.lower()
         if match[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in () if not opened[tag] else range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == tag:
                     if any(t not in _INLINE for t, _ in stack[depth:]):
                         if tag in _INLINE and any(t not in _INLINE for t, _ in stack[depth + 1 :]):
@@ -124,6 +126,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
                 blocks[now].controls += 1
             if tag not in _VOID:
                 stack.append((tag, now))
+                opened[tag] += 1
                 links += tag == "a"
             continue
         broken()
@@ -147,6 +150,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
         blocks.append(Block(now, tag, seen, label))
         now = len(blocks) - 1
         stack.append((tag, now))
+        opened[tag] += 1
     if at < len(page):
         text(page[at:])
     broken()

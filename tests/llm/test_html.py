@@ -23,7 +23,7 @@ def test_plain_markup(model):
     assert html_main.main_text(page, model) == "Hello\nloose boldtext\none\ntwo"
 
 
-@pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "</b></p>", "<script>x", "<a title=\"x>", "&amp;", "<b><p></b></p>" * 50, "<div>" * 3000 + "x", "\x00﻿"])
+@pytest.mark.parametrize("page", ["", "<", "<p", "<!-- open", "</b></p>", "<script>x", "<a title=\"x>", "&amp;", "<b><p></b></p>" * 50, "<div>" * 3000 + "x", "<b>" * 20_000 + "</i>" * 20_000, "\x00﻿"])
 def test_broken_pages_do_not_fail(model, page):
     assert isinstance(html_main.main_text(page, model), str)
 
