@@ -10,12 +10,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plankit.functions.registry import FUNCTIONS, Kind
 
 #: A side named in a broadcast hint is broadcast if its estimated size is at most this.
 BROADCAST_BYTES = 256 << 20
 
+#: A running function over all rows of a relation goes through one task if its estimated size is at most this.
+ONE_TASK_BYTES = 128 << 20
+
 Order = Sequence[str | Column]
 
 
@@ -131,11 +135,48 @@ class Relation:
     def running(self, order: Order, partition: list[str] = (), **functions: tuple) -> Relation:
         """Add the value, up to each row in the order, of stateful functions: name=(function, arguments...).
 
-        Without a partition all rows go through one task, in order; with one, each part starts anew.
+        With a partition, each part starts anew. Without one, a relation of more than ONE_TASK_BYTES by
+        estimate whose first key is a number or a time is dealt into ranges of that key: the functions
+        run inside each range, and what the ranges before it give is added from a table of one row for
+        each range. Other relations go through one task, in order.
         """
+        made = {k: (f, [F.col(a) if isinstance(a, str) else a for a in args]) for k, (f, *args) in functions.items()}
+        ranged = None if partition or estimated_bytes(self.df) <= ONE_TASK_BYTES else self._ranges(order)
+        if ranged is not None:
+            return self._running_ranges(ranged, order, made)
         window = Window.partitionBy(*partition).orderBy(*_order(order))
-        made = {k: FUNCTIONS.running(f, window, *[F.col(a) if isinstance(a, str) else a for a in args]) for k, (f, *args) in functions.items()}
-        return Relation(self.df.withColumns(made))
+        return Relation(self.df.withColumns({k: FUNCTIONS.running(f, window, *args) for k, (f, args) in made.items()}))
+
+    def _ranges(self, order: Order) -> Column | None:
+        """The number of a row's range of the first key, in the order's direction; None if the key has no ranges."""
+        key = order[0]
+        if not isinstance(key, str):
+            return None
+        name, down = key.lstrip("-"), key.startswith("-")
+        if not isinstance(self.df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return None
+        count = max(2, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        at = [i / count for i in range(1, count)]
+        found = self.df.agg(F.percentile_approx(name, at, 10_000)).first()[0] or []
+        bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else None
+        number = F.size(F.filter(bounds, lambda b: b < F.col(name))) if found else F.lit(0)
+        number = F.when(F.col(name).isNull(), -1).otherwise(number)  # nulls are first ascending, last descending
+        return -number if down else number
+
+    def _running_ranges(self, number: Column, order: Order, made: dict[str, tuple[str, list[Column]]]) -> Relation:
+        dealt = self.df.withColumn("_range", number)
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+        totals = dealt.groupBy("_range").agg(*[FUNCTIONS[f](*args).alias(f"_of_{k}") for k, (f, args) in made.items()])
+        folded = {k: F.min if f.endswith("min") else F.max if f.endswith("max") else F.sum for k, (f, _) in made.items()}
+        totals = totals.select("_range", *[folded[k](f"_of_{k}").over(before).alias(f"_of_{k}") for k in made])
+        inside = Window.partitionBy("_range").orderBy(*_order(order))
+        local = dealt.withColumns({k: FUNCTIONS.running(f, inside, *args) for k, (f, args) in made.items()})
+        joined = local.join(F.broadcast(totals), "_range")
+        for k in made:
+            old, new = F.col(f"_of_{k}"), F.col(k)
+            both = {F.min: F.least, F.max: F.greatest}.get(folded[k], lambda a, b: F.coalesce(a + b, a, b))(old, new)
+            joined = joined.withColumn(k, both.cast(local.schema[k].dataType))
+        return Relation(joined.select(*self.df.columns, *made))
 
     # order, limits, injected failures
 

@@ -137,6 +137,20 @@ def test_limits_and_running_values_start_anew_in_each_group(people):
     assert sorted(rows(found)) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2)]
 
 
+@pytest.mark.parametrize("order", [["k", "id"], ["-k", "id"], ["v", "id"]])
+def test_running_values_over_ranges_equal_those_of_one_task(spark, monkeypatch, order):
+    made = Relation(spark.sql("SELECT id, IF(id % 11 = 0, null, id * 7 % 40) AS k, IF(id % 5 = 0, null, id % 13 - 6.5D) AS v FROM range(200)"))
+    functions = {"n": ("running-count",), "s": ("running-sum", "v"), "lo": ("running-min", "v"), "hi": ("running-max", "v"), "c": ("running-count", "v")}
+    one = made.running(order, **functions)
+    from plankit.operators import relation
+
+    monkeypatch.setattr(relation, "ONE_TASK_BYTES", 0)
+    many = made.running(order, **functions)
+    assert many.df.columns == one.df.columns and many.df.dtypes == one.df.dtypes
+    assert sorted(rows(many), key=repr) == sorted(rows(one), key=repr)
+    assert rows(made.select(F.lit(False)).running(order, n=("running-count",))) == []
+
+
 def test_aggregates_of_nothing(people):
     none = people.select(F.lit(False))
     assert rows(none.aggregate(n=F.count("*"), s=F.sum("balance"))) == [(0, None)]
