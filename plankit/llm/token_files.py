@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import starts, written
 from plankit.llm.tokens import encoder, slices
 
@@ -30,7 +31,7 @@ MAGIC = b"PKTOKEN1"
 _HEAD = 10
 _SAMPLE = 256
 #: Ids in a file, at which a file is closed. Documents are never split over files.
-FILE_IDS = 4_000_000
+FILE_IDS = 3_000_000
 
 
 class EliasFano:
@@ -147,7 +148,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "words",
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    blobs = ordered.mapInArrow(each, "blob binary").select(F.col("blob").cast("string").alias("value"))
+    blobs = map_arrow(ordered, each, "blob binary").select(F.col("blob").cast("string").alias("value"))
     blobs.write.option("maxRecordsPerFile", 1).option("lineSep", "\n").text(path)
 
 
@@ -170,7 +171,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*place, file.docs[at : at + n], pa.array(some[:n]), pa.array(ids, pa.binary())], ["task", "chunk", "doc_id", "within", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
-    return files.mapInArrow(each, "task long, chunk long, doc_id long, within long, ids binary")
+    return map_arrow(files, each, "task long, chunk long, doc_id long, within long, ids binary")
 
 
 def offsets(spark: SparkSession, path: str) -> DataFrame:

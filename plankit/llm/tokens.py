@@ -10,6 +10,7 @@ forgotten.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from itertools import islice
@@ -18,10 +19,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_REMEMBERED = 1_200_000
 _LONG = 64
 #: Bytes of text that are encoded at a time.
-_SLICE_BYTES = 12 << 20
+_SLICE_BYTES = 6 << 20
 # All that any of the libraries at hand takes for white space.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _UNEVEN = rf"^$|^{_SPACE}|{_SPACE}$| {_SPACE}|{_SPACE} "
@@ -41,6 +41,8 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
+    #: Units, at most, that are remembered.
+    remembered = 1_200_000
     known: dict[str, bytes]
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -61,9 +63,9 @@ class Encoder:
         if fresh:
             learnt = dict(zip(fresh, self.apart(fresh)))
             found = [learnt[u] if x is None else x for u, x in zip(units, found)]
-            if len(self.known) + len(learnt) > _REMEMBERED:  # the frequent ones came first, and stay
-                self.known = dict(islice(self.known.items(), _REMEMBERED // 2))
-            room = max(0, _REMEMBERED - len(self.known))
+            if len(self.known) + len(learnt) > self.remembered:  # the frequent ones came first, and stay
+                self.known = dict(islice(self.known.items(), self.remembered // 2))
+            room = max(0, self.remembered - len(self.known))
             self.known |= {u: x for u, x in islice(learnt.items(), room) if len(u) <= _LONG}
         laid = pa.array(found, pa.large_binary()).take(coded.indices)
         _, offsets, data = laid.buffers()
@@ -116,21 +118,46 @@ class _Library(Encoder):
 class WordEncoder(_Library):
     """For a tokenizer that drops white space, and so never merges across ASCII white space.
 
-    New words are encoded together, with a mark between them that is a token of its own and that none
-    of them holds.
+    New words are encoded together. Of words that are Latin letters and then perhaps ASCII signs, the
+    tokenizer makes one part or two, and each part ends in a token marked as an end; counting those
+    tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
+    remembered = 800_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
+    #: What a token that ends a part ends in. A fixed value of the format.
+    END = "</w>"
+    # letters that stay letters, one each, in lower case and composed; signs but for the apostrophe
+    SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-įĲ-ɏ]+([!-&(-/:-@\[-`{-~]*)").fullmatch
 
     def __init__(self, path: str):
         super().__init__(path)
         self.mark, self.mark_id = next((m, int(x[0])) for m in self.MARKS if len(x := self.ids(m)) == 1)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.END)]] = True
 
     def split(self, texts: pa.Array) -> pa.ListArray:
         return pc.ascii_split_whitespace(texts)
 
     def apart(self, units: list[str]) -> list[bytes]:
+        kinds = list(map(self.SIMPLE, units))
+        simple, other = [u for u, k in zip(units, kinds) if k], [u for u, k in zip(units, kinds) if not k]
+        parts = np.fromiter((2 if k[1] else 1 for k in kinds if k), np.int64, len(simple))
+        made = {}
+        for at in range(0, len(simple), 1000):
+            some = simple[at : at + 1000]
+            ids = self.ids(" ".join(some))
+            stops, wanted = np.flatnonzero(self.ends[ids]), np.cumsum(parts[at : at + 1000])
+            if len(stops) == wanted[-1]:
+                made |= zip(some, cut_at(ids.tobytes(), (stops[wanted - 1] + 1).tolist()))
+            else:
+                other += some
+        made |= zip(other, self.marked(other))
+        return [made[u] for u in units]
+
+    def marked(self, units: list[str]) -> list[bytes]:
         made = []
         for at in range(0, len(units), 1000):
             some = units[at : at + 1000]

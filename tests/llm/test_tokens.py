@@ -44,6 +44,10 @@ def test_units_give_the_ids_of_whole_texts(path, kind):
     texts = ODD + ["".join(rng.choice("ab .,é\n'1 ") for _ in range(rng.randint(0, 80))) for _ in range(400)]
     for _ in range(2):  # the second time from memory
         assert units.many(pa.array([*texts, None])) == [as_bytes(whole.encode(t, add_special_tokens=False).ids) for t in [*texts, ""]]
+    if kind == "words":  # every letter that counts as simple, alone and with signs
+        letters = [chr(c) for c in range(0x250) if units.SIMPLE(chr(c))]
+        words = [a + b + s for a, b, s in zip(letters, [*letters[1:], "a"], ["", ".", "!?", "-"] * len(letters))]
+        assert units.apart(words) == [as_bytes(whole.encode(w, add_special_tokens=False).ids) for w in words]
     units.remembered = 10
     assert units.many(pa.array(texts)) == [as_bytes(whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
