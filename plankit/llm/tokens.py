@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 
 _LONG = 64
 #: Bytes of text that are encoded at a time.
-_SLICE_BYTES = 6 << 20
+_SLICE_BYTES = 3 << 20
 # All that any of the libraries at hand takes for white space.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _UNEVEN = rf"^$|^{_SPACE}|{_SPACE}$| {_SPACE}|{_SPACE} "
@@ -35,6 +35,7 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE_BYTES, "right")))
         yield batch.slice(at, to - at)
+        pa.default_memory_pool().release_unused()
         at = to
 
 
@@ -42,7 +43,7 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
     #: Units, at most, that are remembered.
-    remembered = 1_200_000
+    remembered = 700_000
     known: dict[str, bytes]
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -123,7 +124,7 @@ class WordEncoder(_Library):
     tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
-    remembered = 800_000
+    remembered = 600_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
     #: What a token that ends a part ends in. A fixed value of the format.
