@@ -21,41 +21,42 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plankit.llm.arrow import map_arrow
 from plankit.llm.tokens import Encoder, slices, spaced_units, unit_text
 
-_REMEMBERED = 700_000
 #: Bytes of parts in one recursive query, and ids in one decoding query: they bound its memory.
-_CHUNK_BYTES, _CHUNK_IDS = 300_000, 1_000_000
+_CHUNK_BYTES, _CHUNK_IDS = 500_000, 1_000_000
 #: A part longer than this goes round by round, so that its earlier states are not kept.
 _LONG = 64
 
-_PAIRED = """
-    SELECT s.w, s.pos, s.tok, s.it, m.new, m.new::BIGINT * 4294967296 + s.pos AS mine
-    FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM {rows}) s
-    LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt"""
-
-_ENCODE = f"""
+# A token's key is its part's number and its byte's place there, so that one order serves all parts.
+_ENCODE = """
 WITH RECURSIVE steps AS (
-  SELECT w, pos, tok, 0 AS it FROM parts
+  SELECT w, w::BIGINT * 4096 + pos AS key, tok, false AS done FROM parts
   UNION ALL
-  SELECT w, pos, tok, it FROM (
-    SELECT w, pos, CASE WHEN mine = best THEN new ELSE tok END AS tok, it + 1 AS it,
-           coalesce(lag(mine = best) OVER (PARTITION BY w ORDER BY pos), false) AS gone
-    FROM (SELECT *, min(mine) OVER (PARTITION BY w) AS best FROM ({_PAIRED.format(rows="steps")}))
-    WHERE best IS NOT NULL)
-  WHERE NOT gone)
-SELECT w, tok FROM (SELECT w, pos, tok FROM steps QUALIFY it = max(it) OVER (PARTITION BY w)) ORDER BY w, pos"""
+  SELECT * FROM (
+    WITH paired AS MATERIALIZED (
+      SELECT s.w, s.key, s.next_key, s.tok, m.new, m.new::BIGINT * 1099511627776 + s.key AS mine
+      FROM (SELECT w, key, tok, lead(tok) OVER o AS next_tok, lead(key) OVER o AS next_key, lead(w) OVER o AS next_w
+            FROM steps WHERE NOT done WINDOW o AS (ORDER BY key)) s
+      LEFT JOIN merges m ON m.l = s.tok AND m.r = s.next_tok AND s.next_w = s.w),
+    least AS (SELECT w, min(mine) AS best, arg_min(next_key, mine) AS gone FROM paired GROUP BY w)
+    SELECT p.w, p.key, CASE WHEN p.mine = l.best THEN p.new ELSE p.tok END AS tok, l.best IS NULL AS done
+    FROM paired p JOIN least l ON l.w = p.w WHERE l.gone IS NULL OR p.key <> l.gone))
+SELECT w, tok FROM steps WHERE done ORDER BY w, key"""
 
 # One round for long parts. Where a new token cannot be part of a pair of lower rank, contracting its
 # leftmost pair again and again is the same as contracting every second one of a run at once.
-_ROUND = f"""
-SELECT w, pos, tok, 0 AS it FROM (
+_ROUND = """
+SELECT w, pos, tok FROM (
   SELECT w, pos, CASE WHEN hit THEN new ELSE tok END AS tok, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS gone
   FROM (SELECT *, new IS NOT DISTINCT FROM least AND least IS NOT NULL AND CASE WHEN least IN (SELECT id FROM early) THEN mine = best
                ELSE (row_number() OVER (PARTITION BY w, new, k - nth ORDER BY pos)) % 2 = 1 END AS hit
         FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS k, row_number() OVER (PARTITION BY w, new ORDER BY pos) AS nth,
                      min(mine) OVER (PARTITION BY w) AS best, min(new) OVER (PARTITION BY w) AS least
-              FROM ({_PAIRED.format(rows="state")}))))
+              FROM (SELECT s.*, m.new, m.new::BIGINT * 4294967296 + s.pos AS mine
+                    FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM state) s
+                    LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt))))
 WHERE NOT gone"""
 
 _DECODE = "SELECT d, string_agg(b, '' ORDER BY pos) AS s FROM (SELECT d, pos, b FROM tokens JOIN vocabulary USING (id)) GROUP BY d"
@@ -64,6 +65,8 @@ _DECODE = "SELECT d, string_agg(b, '' ORDER BY pos) AS s FROM (SELECT d, pos, b
 class Bpe(Encoder):
     """Encodes and decodes by the ranks in a file of lines "base64 rank"."""
 
+    remembered = 500_000
+
     def __init__(self, path: str, pattern: str):
         import duckdb
 
@@ -99,7 +102,7 @@ class Bpe(Encoder):
         if max(map(len, parts)) <= _LONG:
             found = self.base.sql(_ENCODE).to_arrow_table()
         else:
-            self.base.execute("CREATE OR REPLACE TABLE state AS SELECT w, pos, tok, 0 AS it FROM parts").fetchall()
+            self.base.execute("CREATE OR REPLACE TABLE state AS SELECT w, pos, tok FROM parts").fetchall()
             count, before = self.base.sql("SELECT count(*) FROM state").fetchall()[0][0], -1
             while count != before:
                 self.base.execute(f"CREATE OR REPLACE TABLE state AS {_ROUND}").fetchall()
@@ -134,9 +137,9 @@ class Bpe(Encoder):
         parts = list(dict.fromkeys(chain.from_iterable(split)))
         ids = {p: self.parts[p] for p in parts if p in self.parts}
         learnt = self._learn([p for p in parts if p not in ids])
-        if len(self.parts) + len(learnt) > _REMEMBERED:  # the frequent ones came first, and stay
-            self.parts = dict(islice(self.parts.items(), _REMEMBERED // 2))
-        self.parts |= {p: x for p, x in islice(learnt.items(), _REMEMBERED // 2) if len(p) <= _LONG}
+        if len(self.parts) + len(learnt) > self.remembered:
+            self.parts = dict(islice(self.parts.items(), self.remembered // 2))
+        self.parts |= {p: x for p, x in islice(learnt.items(), self.remembered // 2) if len(p) <= _LONG}
         ids |= learnt
         return [b"".join([ids[p] for p in unit]) for unit in split]
 
@@ -182,7 +185,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary()), pa.array(worker.decode(ids), pa.binary())], ["doc_id", "ids", "decoded"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(each, "doc_id long, ids binary, decoded binary")
+    return map_arrow(slim, each, "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
