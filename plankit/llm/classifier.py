@@ -10,18 +10,17 @@ broadcast, so the score of a document of any length is a sum of look-ups.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
-from plankit.llm.texts import Words, bucket, pair_hashes
+from plankit.llm.texts import bucket, pair_hashes
+from plankit.llm.tokens import slices
 
 #: The hash table has 2**18 rows.
 BITS = 18
@@ -30,38 +29,65 @@ SAMPLE = 1200
 THRESHOLD = 0.7
 #: All pairs of a word and itself are one feature: that a word repeats matters more than which.
 _SAME = np.int64((1 << BITS) - 1)
-_REMEMBERED = 250_000
+_GRAMS = (3, 4, 5)
+# Odd multipliers of the polynomial hashes: by place in a gram, and by place in a word.
+_GRAM_PLACES = np.random.default_rng(1).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
+_WORD_PLACES = np.random.default_rng(2).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hash buckets of a word and of its character 3- to 5-grams, edges marked by < and >."""
-    found = [zlib.crc32(b"w" + word)]
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    for size in (3, 4, 5):
-        found += [zlib.crc32(text[i : i + size].encode("utf-8", "replace")) for i in range(len(text) - size + 1)]
-    mask = (1 << BITS) - 1
-    return [x & mask for x in found]
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some words: their hashes; and the features of all of them, as hash buckets and numbers of their words.
 
-
-def pair_features(words: Words) -> np.ndarray:
-    """Hash buckets of each two neighbouring words."""
-    if len(words.at) < 2:
-        return np.zeros(0, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words.distinct, repeat(1)), np.uint64, len(words.distinct))
-    found = bucket(pair_hashes(hashes[words.at]), BITS)
-    found[words.at[1:] == words.at[:-1]] = _SAME
-    return found
-
-
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    A word's features are itself and its character 3- to 5-grams, with < and > as its edges.
+    """
+    points = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    start = np.cumsum(sizes) - sizes
+    word = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(points)) - start[word]
+    hashes = np.add.reduceat(points * _WORD_PLACES[place % len(_WORD_PLACES)], start)
+    ids, of = [bucket(hashes, BITS)], [np.arange(len(words))]
+    left = sizes[word] - place
+    for size in _GRAMS:
+        first = np.flatnonzero(left >= size)
+        found = points[first] * _GRAM_PLACES[0]
+        for k in range(1, size):
+            found += points[first + k] * _GRAM_PLACES[k]
+        ids.append(bucket(found ^ _GRAM_PLACES[size], BITS))
+        of.append(word[first])
+    return hashes, np.concatenate(ids), np.concatenate(of)
+
+
+class Words:
+    """The words of some texts: the distinct ones with their features, and where they stand."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        text = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+        if "" in words:  # before a first and behind a last space
+            some = at != words.index("")
+            at, text = at[some], text[some]
+        self.texts, self.at, self.text = len(lists), at, text
+        self.hashes, self.ids, self.of = word_features(words) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The features of two neighbouring words, as hash buckets, and the text of each."""
+        near = self.text[1:] == self.text[:-1]
+        found = bucket(pair_hashes(self.hashes[self.at]), BITS) if len(self.at) else np.zeros(0, np.int64)
+        found[self.at[1:] == self.at[:-1]] = _SAME
+        return found[near], self.text[1:][near]
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct feature buckets of a text, and the share of each among all its features."""
-    words = Words(text)
-    times = np.bincount(words.at, minlength=len(words.distinct))
-    each = [np.asarray(word_features(w), np.int64) for w in words.distinct]
-    found = np.concatenate([*each, pair_features(words)]) if each else np.zeros(0, np.int64)
-    weights = np.concatenate([np.repeat(times, [len(x) for x in each]), np.ones(len(found) - sum(map(len, each)))]) if each else np.zeros(0)
-    ids, inverse = np.unique(found, return_inverse=True)
-    return ids, (np.bincount(inverse, weights, len(ids)) / max(1.0, weights.sum())).astype(np.float32)
+    words = Words(pa.array([text], pa.string()))
+    times = np.bincount(words.at, minlength=len(words.hashes))
+    pairs, _ = words.pairs()
+    ids, inverse = np.unique(np.concatenate([words.ids, pairs]), return_inverse=True)
+    weights = np.bincount(inverse, np.concatenate([times[words.of], np.ones(len(pairs))]), len(ids))
+    return ids, (weights / max(1.0, weights.sum())).astype(np.float32)
 
 
 class Model:
@@ -71,7 +97,7 @@ class Model:
         self.moves, self.bias, self.trained = moves, bias, trained
 
 
-def train(texts: list[bytes], labels: list[int], weights: list[float], dim: int = 16, epochs: int = 8, rate: float = 4.0, seed: int = 7) -> Model:
+def train(texts: list[str], labels: list[int], weights: list[float], dim: int = 16, epochs: int = 8, rate: float = 4.0, seed: int = 7) -> Model:
     """Fit on the given texts by stochastic gradient descent, in an order that the seed fixes.
 
     With one class alone the score is that class's smoothed share; with no text it is 1/2.
@@ -129,36 +155,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = {c: sum(r._label == c for r in rows) for c in (0, 1)}
     total, used = sum(counts.values()), max(1, len(rows))
     weights = [(counts[r._label] / total) / (of[r._label] / used) for r in rows]
-    return train([r._text.encode() for r in rows], [r._label for r in rows], weights)
-
-
-class _Scorer:
-    """Scores texts; remembers for words what they add to the log-odds and how many features they are."""
-
-    def __init__(self, model: Model):
-        self.model, self.known = model, {}
-        self.moves, self.counts = np.zeros(_REMEMBERED + 1), np.zeros(_REMEMBERED + 1)
-
-    def __call__(self, text: bytes) -> float:
-        words = Words(text)
-        if not len(words.at):
-            return 1 / (1 + float(np.exp(-self.model.bias)))
-        fresh = [w for w in words.distinct if w not in self.known]
-        if len(self.known) + len(fresh) > _REMEMBERED:
-            self.known.clear()
-            fresh = list(words.distinct)
-            if len(fresh) > _REMEMBERED:
-                self.moves, self.counts = np.zeros(len(fresh) + 1), np.zeros(len(fresh) + 1)
-        for word in fresh:
-            ids = word_features(word)
-            i = self.known[word] = len(self.known)
-            self.moves[i], self.counts[i] = self.model.moves[ids].sum(dtype=np.float64), len(ids)
-        times = np.bincount(words.at, minlength=len(words.distinct))
-        rows = np.fromiter(map(self.known.__getitem__, words.distinct), np.int64, len(words.distinct))
-        pairs = pair_features(words)
-        moved = times @ self.moves[rows] + self.model.moves[pairs].sum(dtype=np.float64)
-        odds = self.model.bias + moved / (times @ self.counts[rows] + len(pairs))
-        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+    return train([r._text for r in rows], [r._label for r in rows], weights)
+
+
+def scores(texts: pa.Array, model: Model) -> np.ndarray:
+    """The probability of class 1 for each text: the bias, and the mean of what its features add to the log-odds."""
+    words = Words(texts)
+    n = len(words.hashes)
+    moves, counts = np.bincount(words.of, model.moves[words.ids], n), np.bincount(words.of, minlength=n)
+    pairs, text = words.pairs()
+    moved = np.bincount(words.text, moves[words.at], words.texts) + np.bincount(text, model.moves[pairs], words.texts)
+    total = np.bincount(words.text, counts[words.at], words.texts) + np.bincount(text, minlength=words.texts)
+    return 1 / (1 + np.exp(-np.clip(model.bias + moved / np.maximum(total, 1), -500, 500)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -172,10 +180,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
         for batch in batches:
-            scores = [scorer(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+            for some in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores(some.column(1), shared.value), pa.float64())], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = map_arrow(slim, each, "doc_id long, score double")
@@ -188,9 +195,8 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     place = docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(shared.value)
         for batch in batches:
-            scores = [scorer(t or b"") for t in batch.column(place).cast(pa.binary()).to_pylist()]
-            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+            for some in slices(batch, place):
+                yield some.filter(pa.array(scores(some.column(place), shared.value) >= threshold))
 
     return map_arrow(docs, each, docs.schema)

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,7 +118,6 @@ def test_scores_are_those_of_the_model(labelled, spark):
     """The look-up by word and pair gives what the mean of all feature vectors does."""
     docs, labels = labelled
     model = classifier.fit(docs, labels)
-    text = docs.first().text.encode()
-    ids, share = classifier.features(text)
-    odds = model.bias + share @ model.moves[ids]
-    assert abs(classifier._Scorer(model)(text) - 1 / (1 + np.exp(-odds))) < 1e-5
+    texts = [*(r.text for r in docs.limit(3).collect()), " lead é trail \n", "", "one"]
+    odds = [model.bias + share @ model.moves[ids] for ids, share in map(classifier.features, texts)]
+    assert np.allclose(classifier.scores(pa.array([*texts, None]), model), 1 / (1 + np.exp(-np.asarray([*odds, model.bias]))), atol=1e-5)
