@@ -65,7 +65,7 @@ _DECODE = "SELECT d, string_agg(b, '' ORDER BY pos) AS s FROM (SELECT d, pos, b
 class Bpe(Encoder):
     """Encodes and decodes by the ranks in a file of lines "base64 rank"."""
 
-    remembered = 500_000
+    remembered = 900_000
 
     def __init__(self, path: str, pattern: str):
         import duckdb
@@ -138,8 +138,9 @@ class Bpe(Encoder):
         ids = {p: self.parts[p] for p in parts if p in self.parts}
         learnt = self._learn([p for p in parts if p not in ids])
         if len(self.parts) + len(learnt) > self.remembered:
-            self.parts = dict(islice(self.parts.items(), self.remembered // 2))
-        self.parts |= {p: x for p, x in islice(learnt.items(), self.remembered // 2) if len(p) <= _LONG}
+            self.parts = dict(islice(self.parts.items(), self.remembered * 4 // 5))
+        room = max(0, self.remembered - len(self.parts))
+        self.parts |= {p: x for p, x in islice(learnt.items(), room) if len(p) <= _LONG}
         ids |= learnt
         return [b"".join([ids[p] for p in unit]) for unit in split]
 

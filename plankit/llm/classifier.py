@@ -30,6 +30,8 @@ THRESHOLD = 0.7
 #: All pairs of a word and itself are one feature: that a word repeats matters more than which.
 _SAME = np.int64((1 << BITS) - 1)
 _GRAMS = (3, 4, 5)
+#: Bytes of text that are scored at a time.
+_SLICE_BYTES = 3 << 20
 # Odd multipliers of the polynomial hashes: by place in a gram, and by place in a word.
 _GRAM_PLACES = np.random.default_rng(1).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_PLACES = np.random.default_rng(2).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,7 +183,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, _SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(scores(some.column(1), shared.value), pa.float64())], ["doc_id", "score"])
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -196,7 +198,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, place):
+            for some in slices(batch, place, _SLICE_BYTES):
                 yield some.filter(pa.array(scores(some.column(place), shared.value) >= threshold))
 
     return map_arrow(docs, each, docs.schema)

@@ -3,8 +3,8 @@
 A tokenizer that first splits a text, and then merges inside each part alone, gives a text the ids of
 its parts, one after another. So a slice of texts is split at spaces by Arrow, its units are
 dictionary-encoded, the distinct ones are encoded (or remembered from before), and an Arrow take()
-lays the ids of all texts side by side. What is remembered is bounded; when full, the later half is
-forgotten.
+lays the ids of all texts side by side. What is remembered is bounded; when full, the last
+fifth is forgotten.
 """
 
 from __future__ import annotations
@@ -21,19 +21,19 @@ import pyarrow.compute as pc
 
 _LONG = 64
 #: Bytes of text that are encoded at a time.
-_SLICE_BYTES = 3 << 20
+_SLICE_BYTES = 6 << 20
 # All that any of the libraries at hand takes for white space.
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _UNEVEN = rf"^$|^{_SPACE}|{_SPACE}$| {_SPACE}|{_SPACE} "
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about _SLICE_BYTES of text each, one row at least."""
+def slices(batch: pa.RecordBatch, column: int, size: int = _SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of text each, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _SLICE_BYTES, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, to - at)
         pa.default_memory_pool().release_unused()
         at = to
@@ -43,7 +43,7 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
     #: Units, at most, that are remembered.
-    remembered = 700_000
+    remembered = 1_000_000
     known: dict[str, bytes]
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -65,7 +65,7 @@ class Encoder:
             learnt = dict(zip(fresh, self.apart(fresh)))
             found = [learnt[u] if x is None else x for u, x in zip(units, found)]
             if len(self.known) + len(learnt) > self.remembered:  # the frequent ones came first, and stay
-                self.known = dict(islice(self.known.items(), self.remembered // 2))
+                self.known = dict(islice(self.known.items(), self.remembered * 4 // 5))
             room = max(0, self.remembered - len(self.known))
             self.known |= {u: x for u, x in islice(learnt.items(), room) if len(u) <= _LONG}
         laid = pa.array(found, pa.large_binary()).take(coded.indices)
@@ -124,7 +124,7 @@ class WordEncoder(_Library):
     tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
-    remembered = 600_000
+    remembered = 800_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
     #: What a token that ends a part ends in. A fixed value of the format.
