@@ -25,6 +25,8 @@ from plankit.llm.tokens import encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
+#: Bytes of text that are encoded at a time: the more, the fewer times a unit is looked up.
+_SLICE_BYTES = 12 << 20
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -45,7 +47,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         encode, part = encoder(tokenizer, "byte_level").many, TaskContext.get().partitionId()
         end, seen = np.asarray([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, _SLICE_BYTES):
                 rows = []
                 for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     ids, start = ids + end, 0
