@@ -2,9 +2,12 @@
 
 A partial partition is a sum for each shard. The two of largest spread are combined, the largest sums
 of one with the smallest of the other, again and again, until one is left. That works on partial
-partitions of any size: each task differences the groups it holds to one partial partition, whose
-spread is then at most about the size of a group; the driver differences those, one for each task,
-and so learns which of a task's sums goes to which shard.
+partitions of any size, a group being one with a single sum. Partitions that are even already leave
+nothing to set against a large group, so groups are never differenced apart from one another: each
+task puts its small groups into bundles, single sums of at most a small part of a shard, a large
+group being a bundle by itself. Bundles are of bounded number, and the driver differences all of them
+together, and so learns which bundle goes to which shard. A task's first bundles are smaller, to set
+against what the others leave.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import starts, written
 
 SHARDS = 16
+#: Bundles of groups that a shard's bytes are dealt in, about.
+BUNDLES = 512
+#: Bundles of a task that are smaller, from 2**-FIRST of the others' size on.
+FIRST = 12
 
 
 def differencing(parts: list[list[int]]) -> list[list[int]]:
@@ -59,25 +66,30 @@ def differencing(parts: list[list[int]]) -> list[list[int]]:
     return places
 
 
-def _difference_groups(shards: int):
-    """Groups in, groups with their bin out. Each batch is differenced to one partial partition, and those again.
+def _bundled(cap: int):
+    """Groups in, groups with their bundle out: of at most ``cap`` bytes together, or one group of more.
 
-    So the costly state is that of a batch; of the others a task holds the rows as they came, and a bin each.
+    Two bundles in turn are of more than ``cap`` bytes, but for a task's first ones, of which each may
+    be twice as large as the one before. A task holds nothing but the bundle that is open.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        held, bins, parts = [], [], []
+        made = room = now = 0
         for batch in batches:
-            sizes = batch.column(1).to_numpy()
-            # a group is a partial partition with one sum; its other sums are nothing
-            found = np.asarray([p[0] for p in differencing([[s] + [0] * (shards - 1) for s in sizes.tolist()])], np.int32)
-            held.append(batch)
-            bins.append(found)
-            parts.append([int(sizes[found == b].sum()) for b in range(shards)])
-        for batch, found, places in zip(held, bins, differencing(parts)):
-            arrays = [batch.column(0), batch.column(1), pa.array(np.full(len(found), task)), pa.array(np.asarray(places, np.int32)[found])]
-            yield pa.RecordBatch.from_arrays(arrays, ["grp", "bytes", "task", "bin"])
+            found = []
+            for size in batch.column(1).to_pylist():
+                most = cap >> max(0, FIRST - made)
+                if size > most:
+                    found.append(made)
+                    made += 1
+                    continue
+                if size > room:
+                    now, room, made = made, most, made + 1
+                room -= size
+                found.append(now)
+            arrays = [batch.column(0), batch.column(1), pa.array(np.full(len(found), task)), pa.array(found, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["grp", "bytes", "task", "bundle"])
 
     return each
 
@@ -113,14 +125,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     digest = F.concat(F.md5(text.cast("binary")), F.lit("-"), size.cast("string"))
     rows, _ = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("grp")), "rows")
     groups = rows.groupBy("grp").agg(F.sum("size").alias("bytes"))
-    local, _ = written(map_arrow(groups, _difference_groups(shards), "grp string, bytes long, task long, bin int"), "groups")
-    # shards numbers for each task that held groups
-    sums: dict[int, list[int]] = {}
-    for r in local.groupBy("task", "bin").agg(F.sum("bytes").alias("n")).orderBy("task", "bin").collect():
-        sums.setdefault(r.task, [0] * shards)[r.bin] = r.n
-    places = differencing(list(sums.values()))
-    final = spark.createDataFrame([(t, b, p) for t, row in zip(sums, places) for b, p in enumerate(row)], "task long, bin int, shard int")
-    placed = local.join(final, ["task", "bin"]).select("grp", "shard")
+    cap = (rows.agg(F.sum("size")).first()[0] or 0) // (shards * BUNDLES)
+    local, _ = written(map_arrow(groups, _bundled(cap), "grp string, bytes long, task long, bundle long"), "groups")
+    sums = sorted(map(tuple, local.groupBy("task", "bundle").agg(F.sum("bytes")).collect()))
+    places = differencing([[n] + [0] * (shards - 1) for _, _, n in sums])
+    final = spark.createDataFrame([(t, b, p[0]) for (t, b, _), p in zip(sums, places)], "task long, bundle long, shard int")
+    placed = local.join(F.broadcast(final), ["task", "bundle"]).select("grp", "shard")
     sized = rows.join(placed, "grp").drop("grp")
     dealt, _ = written(map_arrow(sized, _counted(shards), "doc_id long, size long, text_crc32 long, shard int, part long, nth long"), "dealt")
     counts = dealt.groupBy("part", "shard").agg(F.count("*").alias("_n"))

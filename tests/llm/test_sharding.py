@@ -51,3 +51,24 @@ def test_one_group_and_none(spark):
     same = spark.createDataFrame([(i, "t") for i in range(5)], "doc_id long, text string")
     assert {r.shard for r in sharding.shard(same).collect()}.__len__() == 1
     assert sharding.shard(same.limit(0)).count() == 0
+
+
+def test_large_groups_over_many_batches_leave_shards_even(spark):
+    """Hot groups, with the others in more than one Arrow batch of each task; no shard is above the bound."""
+    rng = np.random.default_rng(3)
+    rows = [(i, f"{i} " + "x" * int(n)) for i, n in enumerate(rng.integers(0, 200, 12_000))]
+    for copies, text in ((600, "hot " * 60), (300, "warm " * 50)):
+        rows += [(len(rows) + i, text) for i in range(copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = sharding.shard(docs).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in found) == list(range(len(rows)))
+    assert len({r.shard for r in found if rows[r.doc_id][1].startswith("hot")}) == 1
+    sums = np.bincount([r.shard for r in found], [r["size"] for r in found], 16)
+    assert sums.max() <= 1.001 * max(sums.mean(), 600 * 241)
