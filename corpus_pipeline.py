@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plankit.llm import classifier, packing, quality_rules, simhash
+from plankit.llm import classifier, packing, quality_rules, similar
 from plankit.llm.scratch import written
 
 
@@ -29,8 +29,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of the smallest doc_id."""
-    return simhash.keep_first(docs, size=3, radius=2)
+    """One document of each group stays whose sets of five-word shingles are linked by a similarity of 0.8 or more: that of the smallest doc_id."""
+    return similar.keep_first(docs, size=5, least=0.8)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
