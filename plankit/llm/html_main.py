@@ -22,14 +22,20 @@ from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
 
-# Fixed values of the HTML standard: elements without an end, elements whose text is not parsed,
+# Fixed values of the HTML standard: elements without an end, elements whose text is not parsed (to
+# their end tag or the page's end), elements whose content is no text of the page, elements of formulas,
 # elements that stand in lines of text, and which open elements a start tag ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select xmp noembed noframes".split())
+_RAW = frozenset("script style textarea title iframe noembed noframes".split())
+_APART = frozenset("noscript template svg object canvas select annotation annotation-xml".split())
+_FORMULA = frozenset(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
+)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label map mark meter nobr output "
     "picture progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button audio video".split()
-)
+) | _FORMULA
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",)}
 _CONTROLS = frozenset(("input", "button", "textarea", "select"))
@@ -50,7 +56,7 @@ class Block:
         self.chars = self.link_chars = self.controls = 0
 
 
-def _seen(tag: str, attributes: str) -> tuple[list[str], int | None]:
+def _seen(tag: str, attributes: str, labelled: bool) -> tuple[list[str], int | None]:
     seen, label = [], None
     for name, a, b, c, bare in _ATTRIBUTE.findall(attributes) if attributes.strip(" /\t\r\n") else ():
         name, value = (name or bare).lower(), a or b or c
@@ -58,17 +64,52 @@ def _seen(tag: str, attributes: str) -> tuple[list[str], int | None]:
             seen += {f"word {w.lower()}" for w in _WORD.findall(value)}
         elif name == "hidden" or (name == "style" and "display:none" in value.replace(" ", "").lower()) or (name == "aria-hidden" and value == "true"):
             seen.append("hidden")
-        elif name == "data-label":
+        elif labelled and name == "data-label":
             label = int(value)
     return seen, label
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
-    """The block elements of a page (0: the page itself), and its runs of text: (block, pieces) in page order."""
+def _raw_end(page: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the text of an element that is not parsed ends, and its end tag: at the page's end if there is none."""
+    stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+    return stop.span() if stop else (len(page), len(page))
+
+
+def _closed(attributes: str) -> bool:
+    return attributes.endswith("/")
+
+
+def _ends_apart(page: str, at: int) -> dict[int, int]:
+    """For the elements of _APART from there on that have an end tag: the end of the start tag, and that of the element.
+
+    An end tag is that of the last open start tag of its name. One pass for a page.
+    """
+    found, open_ = {}, {t: [] for t in _APART}
+    while match := _TAG.search(page, at):
+        at = match.end()
+        tag = (match[2] or "").lower()
+        if tag in _APART:
+            if not match[1]:
+                if not _closed(match[3]):
+                    open_[tag].append(at)
+            elif open_[tag]:
+                found[open_[tag].pop()] = at
+        elif (tag in _RAW or tag == "xmp") and not match[1]:
+            at = _raw_end(page, tag, at)[1]
+    return found
+
+
+def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int, list[str]]]]:
+    """The block elements of a page (0: the page itself), and its runs of text: (block, pieces) in page order.
+
+    labelled: read the labels of blocks, in data-label attributes. Pages that are not made to train on
+    can have that attribute for anything.
+    """
     blocks = [Block(-1, "#page", [], None)]
     runs: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, inline ones too; the block each is in
     links, now, pieces, at = 0, 0, [], 0
+    apart: dict[int, int] | None = None
     opened = Counter()  # open elements by tag, so that an end tag without a start is not looked for
 
     def broken() -> None:
@@ -114,17 +155,23 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
             continue
         if tag in _RAW:
             blocks[now].controls += tag in _CONTROLS
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = stop.end() if stop else len(page)
-            if tag not in _INLINE:
-                broken()
+            at = _raw_end(page, tag, at)[1]
+            broken()
+            continue
+        if tag in _APART:
+            blocks[now].controls += tag in _CONTROLS
+            if not _closed(match[3]):
+                if apart is None:
+                    apart = _ends_apart(page, start)
+                at = apart.get(at, at)  # without an end tag, what follows is the page's
+            broken()
             continue
         if tag in _INLINE:
             if tag == "br":
                 pieces.append(" ")
             elif tag in _CONTROLS:
                 blocks[now].controls += 1
-            if tag not in _VOID:
+            if tag not in _VOID and not (tag in _FORMULA and _closed(match[3])):
                 stack.append((tag, now))
                 opened[tag] += 1
                 links += tag == "a"
@@ -146,7 +193,16 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, list[str]]]]:
                     pop_to(depth)
                     if tag != "tr":
                         break
-        seen, label = _seen(tag, match[3])
+        seen, label = _seen(tag, match[3], labelled)
+        if tag == "xmp":  # preformatted text that is not parsed
+            blocks.append(Block(now, "pre", seen, label))
+            stop, end = _raw_end(page, tag, at)
+            some = page[at:stop]
+            blocks[-1].chars = 0 if some.isspace() else len(some)
+            blocks[-1].link_chars = blocks[-1].chars if links else 0
+            runs.append((len(blocks) - 1, [some]))
+            at = end
+            continue
         blocks.append(Block(now, tag, seen, label))
         now = len(blocks) - 1
         stack.append((tag, now))
@@ -245,7 +301,7 @@ def train(pages: list[str], weight: float = 0.5) -> Model:
 
 def main_text(page: str, model: Model) -> str:
     """The content blocks of a page: entities decoded, white space to single spaces, a line for each."""
-    blocks, runs = parse(page)
+    blocks, runs = parse(page, labelled=False)
     _features(blocks)
     belief = model.marginals(blocks)
     lines = (" ".join("".join(pieces).split()) for block, pieces in runs if belief[block] > 0.5)

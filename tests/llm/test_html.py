@@ -67,3 +67,18 @@ def test_every_row_of_pages(spark, model):
     assert [(r.page_id, r.url) for r in found] == [r[:2] for r in rows]
     assert [r.n_chars for r in found] == [len(r.text) for r in found] and found[1].text == found[2].text == "" and found[4].n_chars == 249_999
     assert html_main.extract(pages.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ("<svg width='1'/>", ""), ("<math/>", ""), ("<canvas>", ""), ("<template><p>no<template>no</template>no</p></template>", ""),
+        ("<svg><title>no</title><svg><text>no</text></svg><text>no</text></svg>", ""), ("<object data=x>no<object>no</object>no</object>", ""),
+        ("<select><option>no</select>", ""), ("<svg><path d='M0'/><!-- </svg> --><text>no</text></svg>", ""), ("<script>'<svg>'</script><svg>", ""),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mspace/><mn>2</mn></math> holds</p>", "so x=2 holds\n"), ("<xmp>a <b> &amp; c</xmp>", "a <b> &amp; c\n"), ("<p data-label='Price'>costs</p>", "costs\n"), ("<p data-label=0>zero</p>", "zero\n"),
+    ],
+)
+@pytest.mark.parametrize("later", ["", "<footer><svg></svg><math></math></footer>"])
+def test_articles_go_on_after_elements_that_are_apart(model, inside, kept, later):
+    page = f"<body><article><h1>Head</h1>{inside}<p>The text that follows goes on.</p></article>{later}</body>"
+    assert html_main.main_text(page, model) == f"Head\n{kept}The text that follows goes on."
