@@ -22,12 +22,25 @@ class Kind(Enum):
     UNNEST = "unnest"
 
 
+@dataclass(frozen=True)
+class Partial:
+    """How a stateful function's value is put together from ranges of its input.
+
+    parts: aggregates, each with how its values for several ranges fold into one ("sum", "min" or
+    "max"); finish: the function's value, from the parts' values over all that came so far.
+    """
+
+    parts: tuple[tuple[Callable[..., Column], str], ...]
+    finish: Callable[..., Column] = lambda part: part
+
+
 @dataclass(frozen=True)
 class Function:
     name: str
     kind: Kind
     build: Callable[..., Column]
     arity: int | None = None  # None: any number
+    partial: Partial | None = None  # of a stateful function; None: it has to see all rows in turn
 
     def __call__(self, *args) -> Column:
         if self.arity is not None and len(args) != self.arity:
@@ -39,6 +52,10 @@ def _running(window: WindowSpec) -> WindowSpec:
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def _count(*columns: Column) -> Column:
+    return F.count(*(columns or (F.lit(1),)))
+
+
 _BUILT_IN = [
     Function("eq", Kind.SCALAR, lambda a, b: a == b, 2),
     Function("neq", Kind.SCALAR, lambda a, b: a != b, 2),
@@ -55,15 +72,16 @@ _BUILT_IN = [
     Function("numeric-multiply", Kind.SCALAR, lambda a, b: a * b, 2),
     Function("numeric-divide", Kind.SCALAR, lambda a, b: a / b, 2),
     Function("numeric-mod", Kind.SCALAR, lambda a, b: a % b, 2),
-    Function("count", Kind.AGGREGATE, lambda *c: F.count(*(c or (F.lit(1),)))),
+    Function("count", Kind.AGGREGATE, _count),
     Function("sum", Kind.AGGREGATE, F.sum, 1),
     Function("avg", Kind.AGGREGATE, F.avg, 1),
     Function("min", Kind.AGGREGATE, F.min, 1),
     Function("max", Kind.AGGREGATE, F.max, 1),
-    Function("running-count", Kind.STATEFUL, lambda *c: F.count(*(c or (F.lit(1),)))),
-    Function("running-sum", Kind.STATEFUL, F.sum, 1),
-    Function("running-min", Kind.STATEFUL, F.min, 1),
-    Function("running-max", Kind.STATEFUL, F.max, 1),
+    Function("running-count", Kind.STATEFUL, _count, None, Partial(((_count, "sum"),))),
+    Function("running-sum", Kind.STATEFUL, F.sum, 1, Partial(((F.sum, "sum"),))),
+    Function("running-min", Kind.STATEFUL, F.min, 1, Partial(((F.min, "min"),))),
+    Function("running-max", Kind.STATEFUL, F.max, 1, Partial(((F.max, "max"),))),
+    Function("running-avg", Kind.STATEFUL, F.avg, 1, Partial(((F.sum, "sum"), (_count, "sum")), lambda total, n: F.when(n > 0, total / n))),
     Function("scan-collection", Kind.UNNEST, lambda a: a, 1),
     Function("range", Kind.UNNEST, lambda low, high: F.when(low <= high, F.sequence(low, high)), 2),
 ]
@@ -75,9 +93,13 @@ class Registry:
     def __init__(self):
         self._by_name = {f.name: f for f in _BUILT_IN}
 
-    def register(self, name: str, kind: Kind, build: Callable[..., Column], arity: int | None = None) -> Function:
-        """Bind a name to a builder; a pandas_udf is a builder for SCALAR (or, grouped, for AGGREGATE)."""
-        made = self._by_name[name] = Function(name, kind, build, arity)
+    def register(self, name: str, kind: Kind, build: Callable[..., Column], arity: int | None = None, partial: Partial | None = None) -> Function:
+        """Bind a name to a builder; a pandas_udf is a builder for SCALAR (or, grouped, for AGGREGATE).
+
+        partial: for STATEFUL, how its values over ranges are put together. Without it the function
+        takes the rows of a whole partition (or relation) one after another.
+        """
+        made = self._by_name[name] = Function(name, kind, build, arity, partial)
         return made
 
     def __getitem__(self, name: str) -> Function:
@@ -96,7 +118,11 @@ class Registry:
         function = self[name]
         if function.kind is not Kind.STATEFUL:
             raise TypeError(f"{name} is not stateful")
-        return function(*args).over(_running(window))
+        over = _running(window)
+        if function.partial is None:
+            return function(*args).over(over)
+        function(*args)  # the number of arguments
+        return function.partial.finish(*[build(*args).over(over) for build, _ in function.partial.parts])
 
 
 #: The functions that Relation and the script language look up.

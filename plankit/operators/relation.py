@@ -10,7 +10,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plankit.functions.registry import FUNCTIONS, Kind
 
@@ -20,6 +19,9 @@ BROADCAST_BYTES = 256 << 20
 #: A running function over all rows of a relation goes through one task if its estimated size is at most this.
 ONE_TASK_BYTES = 128 << 20
 
+#: Rows sampled for each range that a larger one is dealt into.
+SAMPLED = 40
+
 Order = Sequence[str | Column]
 
 
@@ -39,7 +41,7 @@ def _hinted(df: DataFrame) -> DataFrame:
 
 
 class Relation:
-    """A lazy relation. Nothing runs before a sink or the DataFrame's own actions."""
+    """A lazy relation. Nothing runs before a sink or the DataFrame's own actions, but for running() over ranges."""
 
     def __init__(self, df: DataFrame):
         self.df = df
@@ -135,48 +137,61 @@ class Relation:
     def running(self, order: Order, partition: list[str] = (), **functions: tuple) -> Relation:
         """Add the value, up to each row in the order, of stateful functions: name=(function, arguments...).
 
-        With a partition, each part starts anew. Without one, a relation of more than ONE_TASK_BYTES by
-        estimate whose first key is a number or a time is dealt into ranges of that key: the functions
-        run inside each range, and what the ranges before it give is added from a table of one row for
-        each range. Other relations go through one task, in order.
+        With a partition, each part starts anew. Without one, a relation of at most ONE_TASK_BYTES by
+        estimate goes through one task, in order. A larger one is dealt into ranges of all its order
+        keys (two small jobs find their bounds now): the functions run inside each range, and are put
+        together with what the ranges before it give, a table of one row for each range. Both ways
+        give the same values. A function without a Partial, and an order that is not all names, have no
+        ranged way: they go through one task at any size.
         """
-        made = {k: (f, [F.col(a) if isinstance(a, str) else a for a in args]) for k, (f, *args) in functions.items()}
-        ranged = None if partition or estimated_bytes(self.df) <= ONE_TASK_BYTES else self._ranges(order)
-        if ranged is not None:
-            return self._running_ranges(ranged, order, made)
+        made = {k: (FUNCTIONS[f], [F.col(a) if isinstance(a, str) else a for a in args]) for k, (f, *args) in functions.items()}
+        ranges = not partition and all(isinstance(k, str) for k in order) and all(f.partial for f, _ in made.values())
+        if ranges and estimated_bytes(self.df) > ONE_TASK_BYTES:
+            return self._running_ranges(order, made)
         window = Window.partitionBy(*partition).orderBy(*_order(order))
-        return Relation(self.df.withColumns({k: FUNCTIONS.running(f, window, *args) for k, (f, args) in made.items()}))
-
-    def _ranges(self, order: Order) -> Column | None:
-        """The number of a row's range of the first key, in the order's direction; None if the key has no ranges."""
-        key = order[0]
-        if not isinstance(key, str):
-            return None
-        name, down = key.lstrip("-"), key.startswith("-")
-        if not isinstance(self.df.schema[name].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return None
+        return Relation(self.df.withColumns({k: FUNCTIONS.running(f.name, window, *args) for k, (f, args) in made.items()}))
+
+    def _ranged(self, order: Sequence[str]) -> DataFrame:
+        """The rows with _range, the number of bounds that come before a row in the order. Rows of equal keys share a range."""
         count = max(2, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        at = [i / count for i in range(1, count)]
-        found = self.df.agg(F.percentile_approx(name, at, 10_000)).first()[0] or []
-        bounds = F.array(*[F.lit(b) for b in sorted(set(found))]) if found else None
-        number = F.size(F.filter(bounds, lambda b: b < F.col(name))) if found else F.lit(0)
-        number = F.when(F.col(name).isNull(), -1).otherwise(number)  # nulls are first ascending, last descending
-        return -number if down else number
-
-    def _running_ranges(self, number: Column, order: Order, made: dict[str, tuple[str, list[Column]]]) -> Relation:
-        dealt = self.df.withColumn("_range", number)
-        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
-        totals = dealt.groupBy("_range").agg(*[FUNCTIONS[f](*args).alias(f"_of_{k}") for k, (f, args) in made.items()])
-        folded = {k: F.min if f.endswith("min") else F.max if f.endswith("max") else F.sum for k, (f, _) in made.items()}
-        totals = totals.select("_range", *[folded[k](f"_of_{k}").over(before).alias(f"_of_{k}") for k in made])
-        inside = Window.partitionBy("_range").orderBy(*_order(order))
-        local = dealt.withColumns({k: FUNCTIONS.running(f, inside, *args) for k, (f, args) in made.items()})
-        joined = local.join(F.broadcast(totals), "_range")
-        for k in made:
-            old, new = F.col(f"_of_{k}"), F.col(k)
-            both = {F.min: F.least, F.max: F.greatest}.get(folded[k], lambda a, b: F.coalesce(a + b, a, b))(old, new)
-            joined = joined.withColumn(k, both.cast(local.schema[k].dataType))
-        return Relation(joined.select(*self.df.columns, *made))
+        names = [k.removeprefix("-") for k in order]
+        keys = self.df.select(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
+        share = min(1.0, SAMPLED * count / max(1, keys.count()))
+        sampled = keys.sample(share, 17).orderBy(*_order([k[: k.startswith("-")] + f"k{i}" for i, k in enumerate(order)])).collect()
+        bounds = list(dict.fromkeys(sampled[i * len(sampled) // count] for i in range(1, count))) if sampled else []
+        if not bounds:
+            return self.df.withColumn("_range", F.lit(0))
+
+        def before(bound: Column) -> Column:
+            """Whether the bound comes before the row: by the first key in which they differ."""
+            found = F.lit(False)
+            for i, (key, name) in reversed(list(enumerate(zip(order, names)))):
+                a, b = bound[f"k{i}"], F.col(name)
+                if key.startswith("-"):
+                    a, b = b, a
+                less = (a.isNull() & b.isNotNull()) | F.coalesce(a < b, F.lit(False))
+                found = less | (a.eqNullSafe(b) & found)
+            return found
+
+        table = self.df.sparkSession.createDataFrame(bounds, keys.schema).agg(F.collect_list(F.struct("*")).alias("_bounds"))
+        return self.df.crossJoin(F.broadcast(table)).withColumn("_range", F.size(F.filter("_bounds", before))).drop("_bounds")
+
+    def _running_ranges(self, order: Sequence[str], made: dict[str, tuple]) -> Relation:
+        dealt = self._ranged(order)
+        parts = {f"_{k}_{i}": (build(*args), fold) for k, (f, args) in made.items() for i, (build, fold) in enumerate(f.partial.parts)}
+        earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+        totals = dealt.groupBy("_range").agg(*[value.alias(p) for p, (value, _) in parts.items()])
+        totals = totals.select("_range", *[getattr(F, fold)(p).over(earlier).alias(f"{p}_before") for p, (_, fold) in parts.items()])
+        inside = Window.partitionBy("_range").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        joined = dealt.withColumns({p: value.over(inside) for p, (value, _) in parts.items()}).join(F.broadcast(totals), "_range")
+
+        def so_far(part: str, fold: str) -> Column:
+            old, new = F.col(f"{part}_before"), F.col(part)
+            return F.coalesce(old + new, old, new) if fold == "sum" else (F.least if fold == "min" else F.greatest)(old, new)
+
+        values = {k: f.partial.finish(*[so_far(f"_{k}_{i}", fold) for i, (_, fold) in enumerate(f.partial.parts)]) for k, (f, _) in made.items()}
+        kinds = self.df.limit(0).agg(*[f(*args).alias(k) for k, (f, args) in made.items()]).schema
+        return Relation(joined.select(*self.df.columns, *[v.cast(kinds[k].dataType).alias(k) for k, v in values.items()]))
 
     # order, limits, injected failures
 
@@ -194,11 +209,14 @@ class Relation:
         ranked = self.df.withColumn("_nth", F.row_number().over(window))
         return Relation(ranked.where((F.col("_nth") > offset) & (F.col("_nth") <= offset + count)).drop("_nth"))
 
-    def die(self, after: int, order: Order) -> Relation:
-        """Pass that many rows in the order, then fail with "injected failure". For tests of failure."""
-        nth = F.row_number().over(Window.orderBy(*_order(order)))
-        guarded = self.df.withColumn("_nth", nth).where(F.when(F.col("_nth") > after, F.raise_error("injected failure").cast("boolean")).otherwise(True))
-        return Relation(guarded.drop("_nth"))
+    def die(self, after: int) -> Relation:
+        """Pass up to that many rows; a relation of more fails with "injected failure". For tests of failure.
+
+        The rows are counted by partial counts, so that none are moved for it.
+        """
+        counted = self.df.agg(F.count("*").alias("_rows"))  # one row
+        over = F.when(F.col("_rows") > after, F.raise_error(F.lit("injected failure")).cast("boolean")).otherwise(True)
+        return Relation(self.df.crossJoin(F.broadcast(counted)).where(over).drop("_rows"))
 
     # set operations, several consumers
 
@@ -209,9 +227,21 @@ class Relation:
         left = self.df.select(*[F.col(a).alias(out) for a, _, out in columns])
         return Relation(left.union(other.df.select(*[F.col(b).alias(out) for _, b, out in columns])))
 
-    def replicate(self, count: int) -> list[Relation]:
-        """count relations of the same rows, computed once: kept in memory and on disk until unpersist()."""
-        shared = self.df.persist()
+    def union_many(self, *others: Relation, columns: Sequence[str] | None = None) -> Relation:
+        """A bag union of this relation and others, by position, or of the named columns by name."""
+        made = self.df.select(*columns) if columns else self.df
+        for other in others:
+            made = made.unionByName(other.df.select(*columns)) if columns else made.union(other.df)
+        return Relation(made)
+
+    def replicate(self, count: int, keep: bool = True) -> list[Relation]:
+        """count relations of the same rows.
+
+        keep: computed once, and held in memory and on disk until the first one's df.unpersist(). Else
+        they share a plan, of which Spark reuses the exchanges that are alike in one query; for rows
+        that are cheaper to read again than to hold.
+        """
+        shared = self.df.persist() if keep else self.df
         return [Relation(shared) for _ in range(count)]
 
     def split(self, *conditions: Column, default: bool = True, name: str = "branch") -> Relation:
@@ -270,8 +300,8 @@ class Relation:
         return Relation(self.df.repartition(*keys).sortWithinPartitions(*_order(order)))
 
     def merge_to_one(self) -> Relation:
-        """One partition, unordered. For results that one task can hold."""
-        return Relation(self.df.coalesce(1))
+        """One partition, unordered: what makes the rows still runs in many tasks. For results that one task can hold."""
+        return Relation(self.df.repartition(1))
 
     # external programs
 
