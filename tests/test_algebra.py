@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plankit.functions.registry import FUNCTIONS, Kind
+from plankit.functions.registry import FUNCTIONS, Kind, Partial
 from plankit.operators import nested
 from plankit.operators.relation import Relation
 from plankit.plans import explain
@@ -137,20 +137,34 @@ def test_limits_and_running_values_start_anew_in_each_group(people):
     assert sorted(rows(found)) == [(1, 1), (2, 2), (3, 1), (4, 1), (5, 2)]
 
 
-@pytest.mark.parametrize("order", [["k", "id"], ["-k", "id"], ["v", "id"]])
+@pytest.mark.parametrize("order", [["k", "id"], ["-k", "id"], ["v", "id"], ["name", "-id"], ["-name", "k", "id"], ["-id"]])
 def test_running_values_over_ranges_equal_those_of_one_task(spark, monkeypatch, order):
-    made = Relation(spark.sql("SELECT id, IF(id % 11 = 0, null, id * 7 % 40) AS k, IF(id % 5 = 0, null, id % 13 - 6.5D) AS v FROM range(200)"))
-    functions = {"n": ("running-count",), "s": ("running-sum", "v"), "lo": ("running-min", "v"), "hi": ("running-max", "v"), "c": ("running-count", "v")}
+    made = Relation(spark.sql("SELECT id, IF(id % 11 = 0, null, id * 7 % 40) AS k, IF(id % 5 = 0, null, id % 13 - 6.5D) AS v, IF(id % 9 = 0, null, concat('n', id % 6)) AS name FROM range(200)"))
+    functions = {"n": ("running-count",), "s": ("running-sum", "v"), "lo": ("running-min", "v"), "hi": ("running-max", "v"), "c": ("running-count", "v"), "mean": ("running-avg", "k")}
     one = made.running(order, **functions)
     from plankit.operators import relation
 
     monkeypatch.setattr(relation, "ONE_TASK_BYTES", 0)
     many = made.running(order, **functions)
     assert many.df.columns == one.df.columns and many.df.dtypes == one.df.dtypes
+    assert "orderBy" not in explain.physical(many) and "_range" in explain.physical(many)
     assert sorted(rows(many), key=repr) == sorted(rows(one), key=repr)
     assert rows(made.select(F.lit(False)).running(order, n=("running-count",))) == []
 
 
+def test_registered_running_functions_over_ranges(spark, monkeypatch):
+    from plankit.operators import relation
+
+    monkeypatch.setattr(relation, "ONE_TASK_BYTES", 0)
+    made = Relation(spark.sql("SELECT id, CAST(id AS DOUBLE) AS v FROM range(100)"))
+    FUNCTIONS.register("running-half", Kind.STATEFUL, lambda v: F.avg(v) / 2, 1, Partial(((F.sum, "sum"), (F.count, "sum")), lambda s, n: s / n / 2))
+    FUNCTIONS.register("running-last", Kind.STATEFUL, F.last, 1)  # no Partial: one task
+    found = rows(made.running(["id"], h=("running-half", "v")).project("id", "h"))
+    assert sorted(found) == [(i, i / 4) for i in range(100)]
+    assert sorted(rows(made.running(["id"], h=("running-half", "v"), x=("running-last", "id")).project("id", "x"))) == [(i, i) for i in range(100)]
+    assert "SinglePartition" not in explain.physical(made.running(["id"], h=("running-half", "v"))).split("BroadcastExchange")[0]
+
+
 def test_aggregates_of_nothing(people):
     none = people.select(F.lit(False))
     assert rows(none.aggregate(n=F.count("*"), s=F.sum("balance"))) == [(0, None)]
@@ -173,9 +187,9 @@ def test_group_apply(people):
 
 
 def test_die_passes_then_fails(people):
-    assert len(rows(people.die(5, ["id"]))) == 5
+    assert len(rows(people.die(5))) == 5
     with pytest.raises(Exception, match="injected failure"):
-        people.die(2, ["id"]).df.collect()
+        people.die(2).df.collect()
 
 
 def test_split_takes_the_first_true_condition(numbers):
@@ -269,6 +283,70 @@ def test_delimited_files(spark, tmp_path):
     assert len(rows(files.read_lines(spark, splits))) == 3
 
 
+def test_every_delimited_row_is_checked(spark, tmp_path):
+    fields = [("id", "int"), ("name", "chararray")]
+
+    def read(text):
+        (tmp_path / "x.txt").write_text(text)
+        return files.read_delimited(spark, [str(tmp_path / "x.txt")], fields)
+
+    assert rows(read("1,\n2,b\n")) == [(1, ""), (2, "b")]
+    for bad in ("x,a\n1,b\n", "1,a\n\n2,b\n", "1,a,z\n", "1\n", ",a\n", "99999999999,a\n"):
+        for use in (lambda r: r.df.collect(), lambda r: r.project("name").df.collect(), lambda r: r.df.count()):
+            with pytest.raises(Exception, match="malformed row"):
+                use(read(bad))
+    assert files.read_delimited(spark, [str(tmp_path / "x.txt")], []).df.count() == 1
+    with pytest.raises(TypeError):
+        files.read_delimited(spark, [str(tmp_path / "x.txt")], [("b", "bag")])
+
+
+def test_nations_sorted_by_name_as_one_file(spark, tmp_path):
+    table = tmp_path / "nation.tbl"
+    table.write_text("3|CANADA|1|eas hang ironic, silent packages|\n2|BRAZIL|1|y alongside of the pending deposits|\n0|ALGERIA|0| haggle. carefully final deposits detect slyly agai|\n")
+    fields = [("n_nationkey", "int"), ("n_name", "chararray"), ("n_regionkey", "int"), ("n_comment", "chararray")]
+    files.write_text(files.read_delimited(spark, [str(table)], fields, "|", trailing=True).order("n_name"), str(tmp_path / "out"), single=True)
+    assert [p.name for p in (tmp_path / "out").glob("part-*")] == ["part-00000.txt"]
+    assert lines(tmp_path / "out") == [
+        '0; "ALGERIA"; 0; " haggle. carefully final deposits detect slyly agai"',
+        '2; "BRAZIL"; 1; "y alongside of the pending deposits"',
+        '3; "CANADA"; 1; "eas hang ironic, silent packages"',
+    ]
+
+
+def test_catalog_changes_that_fail_leave_the_state(spark, people, tmp_path, monkeypatch):
+    catalog = Catalog(spark, str(tmp_path))
+    stored = catalog.declare("people", ["id"]).stored
+    catalog.write_result("people", people)
+    catalog.insert("people", people.select(col("id") == 1).assign(id=9))
+    held = catalog.scan("people")
+    with pytest.raises(Exception, match="exists"):
+        stored.publish(stored.number(), [])  # a change that was published meanwhile
+    monkeypatch.setattr(type(stored), "publish", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        catalog.delete("people", people)
+    monkeypatch.undo()
+    assert sorted(r[0] for r in rows(catalog.scan("people").project("id"))) == [1, 2, 3, 4, 5, 9]
+    before = set(stored.folders())
+    catalog.delete("people", people.select(col("id") == 1))
+    assert len(before & set(stored.folders())) == 1  # the folder with 9 stays as it is
+    assert held.df.count() == 6 and catalog.scan("people").df.count() == 5
+    catalog.vacuum("people")
+    assert catalog.scan("people").df.count() == 5 and len(list((tmp_path / "people").glob("rows-*"))) == 2
+
+
+def test_catalog_over_given_files_and_partitions(spark, people, tmp_path):
+    people.df.write.parquet(str(tmp_path / "given"))
+    catalog = Catalog(spark, str(tmp_path / "root"))
+    catalog.declare("people", ["id"], path=str(tmp_path / "given"))
+    catalog.update("people", people.select(col("id") == 2).assign(name=F.lit("new")))
+    assert sorted(rows(catalog.scan("people").select(col("id") == 2).project("id", "name"))) == [(2, "new")]
+    assert spark.read.parquet(str(tmp_path / "given")).count() == catalog.scan("people").df.count() == 5
+    catalog.declare("parts", ["id"], partition_by=["nation"])
+    catalog.write_result("parts", people)
+    catalog.insert("parts", people.select(col("id") == 5).assign(id=6))
+    assert sorted(rows(catalog.scan("parts").select(col("nation") == 5).project("id"))) == [(4,), (5,), (6,)]
+
+
 def test_catalog_changes_keep_indexes(spark, people, tmp_path):
     catalog = Catalog(spark, str(tmp_path))
     catalog.declare("people", ["id"])
@@ -297,7 +375,11 @@ def test_scripts(spark, tmp_path):
     dumps = Script(spark).run(text)
     assert sorted(lines(tmp_path / "out")) == ['5; "again"', '5; "five"']
     assert sorted(rows(dumps[1].relation)) == [(6, "six"), (12, "twelve")]
-    for bad, what in (("dump X into 'y';", "Unknown alias"), ("S = filter R by zip == 1;", "Unable to find field"), ("S = sort R;", "statement"), ("R = load", "expected")):
+    text = f"""Ünï = load "file://{tmp_path}/1.txt" as (größe : int, name : chararray); U = filter Ünï by größe * 1.0 < 5.5e0 and name != "--//";
+               V = load "{tmp_path}/2.txt" as (); dump U into "u"; dump V into "v"; W = filter Ünï by $1 == 'six'; dump W into "w";"""
+    found = Script(spark).run(text, write=False)
+    assert rows(found[0].relation) == [(5, "five")] and rows(found[1].relation) == [(), ()] and rows(found[2].relation) == [(6, "six")]
+    for bad, what in (("S = filter R by $2 == 1;", "no field"), ("R = load 'x' as (,);", "expected"), ("-- x", "cannot read|expected"), ("dump X into 'y';", "no relation"), ("S = filter R by zip == 1;", "no field"), ("S = sort R;", "statement"), ("R = load", "expected")):
         script = Script(spark)
         script.relations["R"] = dumps[0].relation
         with pytest.raises(ScriptError, match=what):
