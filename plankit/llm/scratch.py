@@ -8,39 +8,12 @@ stays what it is when executors are lost. The JVM removes the folders when the a
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plankit.sources.shared import drop_path, new_path
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset: a temporary one, in local mode only."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-    if not context.master.startswith("local[") and context.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="plankit-"))
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a path in the shared folder that nothing reads any more."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["drop_path", "new_path", "starts", "written"]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:

@@ -66,7 +66,7 @@ def covering_masks(radius: int) -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, top)]
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
@@ -74,32 +74,33 @@ def links(nodes: DataFrame, radius: int = 2, crowd: int = 512) -> DataFrame:
     """nodes: (fp long), distinct. Returns edges (u, v) whose components are those of all pairs within radius.
 
     In a table's buckets of up to ``crowd`` fingerprints, the members are compared with one another.
-    More crowded buckets are not compared pair by pair: for radius 2, two fingerprints are that near
-    if and only if some point lies within 1 bit of both. Each member posts its 65 such points, and
-    those that meet at a point are linked to the smallest there: a linear number of rows, and at most
-    65 members to a point. The other radii use that with halves of the radius where it is even.
+    More crowded buckets are not compared pair by pair: for an even radius, two fingerprints are that
+    near if and only if some point lies within half of it of both. Each member posts its points (65 for
+    radius 2), and those that meet at a point are linked to the smallest there: a linear number of rows,
+    and at most as many members to a point. For radius 1 each member posts itself and its neighbours,
+    and at a point that is itself a member all that meet there are linked to it.
     """
     if radius % 2 and radius != 1:
         raise ValueError("an odd radius above 1 has no exact way for crowded buckets here")
-    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))])
+    tables = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))])
     posted = nodes.select("fp", F.explode(tables).alias("t")).select("fp", "t.k", "t.key")
     sizes = posted.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = posted.join(sizes, ["k", "key"])
+    members, _ = written(posted.join(sizes, ["k", "key"]), "members")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     few = members.where(F.col("n") <= crowd)
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)
     pairs = pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+    bits = [1 << i for i in range(BITS)]
     ball = [0]
-    for _ in range(max(1, radius // 2)):
-        ball = sorted({x ^ (1 << i) for x in ball for i in range(BITS)} | set(ball))
-    if radius <= 1:  # a point within 0 or 1 bit of one, and equal to the other
-        ball = [0] + [1 << i for i in range(BITS)] if radius else [0]
+    for _ in range((radius + 1) // 2):
+        ball = sorted({x ^ b for x in ball for b in [0, *bits]})
     many = members.where(F.col("n") > crowd).select("fp").distinct()
-    points = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(x))) for x in ball])).alias("at"))
+    points = many.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(signed(x))) for x in ball])).alias("at"))
     met = points.groupBy("at").agg(F.array_sort(F.collect_set("fp")).alias("all")).where(F.size("all") > 1)
-    met = met.select(F.col("all")[0].alias("u"), F.explode(F.slice("all", 2, len(ball))).alias("v"))
     if radius == 1:
-        met = met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 1)
+        met = met.where(F.array_contains("all", F.col("at"))).select(F.col("at").alias("u"), F.explode(F.array_remove("all", F.col("at"))).alias("v"))
+    else:
+        met = met.select(F.col("all")[0].alias("u"), F.explode(F.slice("all", 2, len(ball))).alias("v"))
     return pairs.unionByName(met)
 
 
@@ -108,7 +109,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two fingerprints link at ``radius`` or fewer differing bits; component_id is the smallest doc_id
     that can be reached. Equal texts share a fingerprint, and so a class, of which only one member
-    takes part in the search. Null and empty texts have fingerprint zero and link like any other;
+    takes part in the search. Rows that share a doc_id but not a text are told apart by fingerprint. Null and empty texts have fingerprint zero and link like any other;
     rows without doc_id count in no minimum (a class of such rows alone has component_id null); repeated
     rows each get their row; an empty table gives none; other columns of docs are not looked at.
     """
@@ -119,15 +120,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marks.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id.
-
-    Of rows that repeat that doc_id one stays. Rows without doc_id stay, since none can be named.
-    All columns of docs are returned.
-    """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, radius)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(first.hint("merge"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))

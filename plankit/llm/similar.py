@@ -1,15 +1,15 @@
-"""Near-duplicates by the Jaccard similarity of shingle sets: banded minima for candidates, then an exact check.
-
-At similarity 0.8 two SimHash fingerprints differ in about 10 of 64 bits, and in up to 20, which no
-covering set of masks reaches. So candidates are texts that agree in a band: BANDS times ROWS minima
-of the same shingles' hashes. A pair of similarity 0.8 has one with probability 1 - (1 - 0.8^5)^20 =
-0.9996, a closer pair sooner. Candidates whose minima agree, by a byte of each, in fewer than AGREE
-places are dropped (of pairs of similarity 0.8, 100 minima agree in so few in about 3 of a million).
-A pair links only if its shingle sets, made again from the texts, are that similar.
-
-Pairs of a band's bucket grow with its square, so there each text is paired with the bucket's first
-and the NEAR next ones, in order of shingles. Each text is checked against one first, and components
-are made of what links; then only pairs of different components are checked.
+"""SimHash near-dedup of whole texts: covering masks for candidates, then an exact check of shingle sets.
+
+Texts whose sets of five-word shingles have a similarity of 0.8 differ in about 10 bits of a 64-bit
+SimHash of those shingles, which no affordable set of masks covers. Their sets of words are far closer.
+So the candidates are pairs within RADIUS bits in one of PRINTS independent SimHash fingerprints of the
+distinct words; each fingerprint has the covering masks of that radius (simhash.covering_masks), under
+one of which every such pair collides. A pair links only if its sets of shingles are that similar.
+
+Buckets are never searched pair by pair as long as that can be avoided. In each round every bucket
+names a hub, the members that are not yet linked to it are checked against it, and components are made
+of what links. When the pairs left, of members of one bucket in different components, are few or the
+rounds are over, all of them are checked; so every link between candidates counts, at any size of bucket.
 """
 
 from __future__ import annotations
@@ -18,33 +18,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
 from plankit.llm.components import components
 from plankit.llm.scratch import written
-from plankit.llm.simhash import shingle_hashes
+from plankit.llm.simhash import covering_masks, fingerprint, shingle_hashes, signed
 from plankit.llm.tokens import slices
 
-BANDS, ROWS = 20, 5
-NEAR = 8
-AGREE = 60
+#: Independent fingerprints of a text, and the bits in which those of a candidate may differ.
+PRINTS, RADIUS = 3, 5
+#: Rounds of hubs, at most; pairs for each member of a bucket that count as few; and the share of the pairs left
+#: that a round has to leave for another to follow.
+ROUNDS, FEW, GAIN = 6, 4, 0.5
 
-_RANDOM = np.random.default_rng(7)
-_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+_ADD = [np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64)) for i in range(PRINTS)]
+_MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def bands(shingles: np.ndarray) -> tuple[list[int], bytes]:
-    """For each band a hash of its minima over the shingles (signed, as Spark has longs); a byte of each minimum."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):  # bounded memory for very long texts
-        np.minimum(least, (shingles[at : at + 512, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    raw = least.tobytes()
-    width = 8 * ROWS
-    return np.asarray([xxhash.xxh64_intdigest(raw[i * width : (i + 1) * width], i) for i in range(BANDS)], np.uint64).view(np.int64).tolist(), (least >> np.uint64(24)).astype(np.uint8).tobytes()
+def prints(text: bytes) -> list[int]:
+    """The fingerprints of a text's distinct words: each of other hashes, made of the words' XXH64."""
+    words = np.unique(shingle_hashes(text, 1))
+    found = []
+    for add in _ADD:
+        mixed = words + add
+        for shift, times in zip((30, 27), _MIX):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * times
+        found.append(fingerprint(mixed ^ (mixed >> np.uint64(31))))
+    return found
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,102 +55,107 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _shingles(text: bytes | None, size: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text or b"", size))
+def _printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in (some for b in batches for some in slices(b, 1)):
+        found = [prints(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["key", "prints"])
 
 
-def _marked(size: int):
+def _shingled(size: int):
+    """Nodes with their texts in, nodes with their sorted distinct shingles out."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (some for b in batches for some in slices(b, 1)):
-            count, found, sketches = [], [], []
-            for t in batch.column(1).cast(pa.binary()).to_pylist():
-                some = _shingles(t, size)
-                count.append(len(some))
-                hashed, sketch = bands(some)
-                found.append(hashed)
-                sketches.append(sketch)
-            arrays = [batch.column(0), pa.array(count, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["key", "n", "bands", "sketch"])
+            sets = [np.unique(shingle_hashes(t or b"", size)).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     return each
 
 
-def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their sketches in; those out that agree in AGREE places."""
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for i in (3, 4))
-        hit = pa.array((a == b).sum(axis=1) >= AGREE, pa.bool_())
-        yield pa.RecordBatch.from_arrays(batch.columns[:3], ["u", "v", "star"]).filter(hit)
-
-
-def _checked(size: int, least: float):
-    """Pairs with their texts in, those that are similar out."""
+def _checked(least: float):
+    """Pairs with their shingles in, those that are similar out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-
-        def of(key: int, text: bytes) -> np.ndarray:
-            if key not in known:
-                if len(known) >= 256:
-                    known.clear()
-                known[key] = _shingles(text, size)
-            return known[key]
-
-        for batch in (some for b in batches for some in slices(b, 2)):
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            a, b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            hit = [similarity(of(x, a[i].as_py()), of(y, b[i].as_py())) >= least for i, (x, y) in enumerate(zip(u, v))]
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            hit = [min(len(x), len(y)) >= least * max(len(x), len(y)) and similarity(x, y) >= least for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     return each
 
 
-def _key(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-
-
-def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
-    """Stars (key, root) of the different texts of docs that are linked, by the xxhash64 of each text; a root has no row."""
-    texts = docs.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    marks, _ = written(map_arrow(texts, _marked(size), "key long, n long, bands array<long>, sketch binary"), "bands")
-    order = Window.partitionBy("at").orderBy("n", "key")
-    other = F.array(F.first(F.struct("key", "n")).over(order), *[F.lag(F.struct("key", "n"), i).over(order) for i in range(1, NEAR + 1)])
-    posted = marks.select("key", "n", "bands").dropDuplicates(["key"]).select("key", "n", F.explode("bands").alias("at")).select("key", "n", other.alias("other"))
-    pairs = posted.select("key", "n", F.posexplode("other").alias("nth", "o")).where((F.col("o.key") != F.col("key")) & (F.col("o.n") >= F.col("n") * least))
-    pairs = pairs.groupBy(F.least("key", "o.key").alias("u"), F.greatest("key", "o.key").alias("v")).agg(F.min(F.when(F.col("nth") == 0, F.struct("n", "key"))["key"]).alias("star"))
-    sketches = marks.groupBy("key").agg(F.min("sketch").alias("sketch"))
-    of_u, of_v = (sketches.select(F.col("key").alias(c), F.col("sketch").alias(f"sketch_{c}")) for c in "uv")
-    pairs = pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "star", "sketch_u", "sketch_v")
-    pairs, _ = written(map_arrow(pairs, _agreeing, "u long, v long, star long"), "pairs")
-    # only texts in pairs are moved
-    used = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    held, _ = written(texts.join(used, "key", "left_semi").dropDuplicates(["key"]), "texts")
-
-    def checked(some: DataFrame) -> DataFrame:
-        left = some.join(held.select(F.col("key").alias("u"), F.col("text").alias("a")), "u")
-        right = left.join(held.select(F.col("key").alias("v"), F.col("text").alias("b")), "v")
-        return written(map_arrow(right.select("u", "v", "a", "b"), _checked(size, least), "u long, v long"), "links")[0]
-
-    stars = pairs.where("star is not null").select("u", "v", F.col("star").alias("key"))
-    first = checked(stars.groupBy("key").agg(F.min(F.struct("u", "v")).alias("p")).select("p.u", "p.v").distinct())
-    near = components(first)
-    a, b = (near.select(F.col("u").alias(c), F.col("v").alias(f"root_{c}")) for c in "uv")
-    apart = pairs.join(a, "u", "left").join(b, "v", "left").where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    second = checked(written(apart, "apart")[0])
-    return components(first.unionByName(second)).select(F.col("u").alias("key"), F.col("v").alias("root"))
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def _key(text_col: str) -> Column:
+    return F.md5(_text(text_col).cast("binary"))
+
+
+def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(key, node): each different text of docs, by its MD5, with a number; and stars (node, root) of those that are linked.
+
+    A root has no row among the stars. Null texts are empty ones; texts without words are alike.
+    """
+    texts = docs.select(_key(text_col).alias("key"), _text(text_col).alias("text"))
+    marks, _ = written(map_arrow(texts, _printed, "key string, prints array<long>"), "prints")
+    nodes, _ = written(marks.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    masks = F.array(*[F.struct(F.lit(p).alias("of"), F.lit(signed(m)).alias("mask")) for p in range(PRINTS) for m in covering_masks(RADIUS)])
+    spread = nodes.select("node", "prints", F.posexplode(masks).alias("nth", "t"))
+    posted = spread.select(F.xxhash64("nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask"))).alias("at"), "node", F.col("t.of").cast("byte").alias("of"))
+    shared = posted.groupBy("at").count().where("count > 1").select("at")
+    members = posted.join(shared, "at").join(nodes.select("node", "prints"), "node").select("at", "node", F.get("prints", F.col("of").cast("int")).alias("fp"))
+    members, _ = written(members, "members")
+    used = members.select("node").distinct().join(nodes.select("key", "node"), "node")
+    held = texts.join(used, "key").dropDuplicates(["key"]).select("node", "text")
+    held, _ = written(map_arrow(held, _shingled(size), "node long, shingles binary"), "shingles")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        for c, name in (("u", "a"), ("v", "b")):
+            pairs = pairs.join(held.select(F.col("node").alias(c), F.col("shingles").alias(name)), c)
+        return map_arrow(pairs.select("u", "v", "a", "b"), _checked(least), "u long, v long")
+
+    empty = docs.sparkSession.createDataFrame([], "u long, v long")
+    tried, linked, stars = empty, empty, empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    count, before = members.count(), None
+    for turn in range(ROUNDS + 1):
+        rooted = members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        each = rooted.groupBy("at", "root").agg(F.count("*").cast("double").alias("n"))
+        open_ = each.groupBy("at").agg((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("left")).where("left > 0")
+        left = (open_.agg(F.sum("left")).first()[0] or 0) / 2
+        if not left:
+            break
+        last = turn == ROUNDS or (turn and left <= FEW * count) or (before is not None and left > GAIN * before)
+        a, b = rooted.join(open_.select("at"), "at").alias("a"), rooted.alias("b")
+        apart = (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
+        if last:
+            apart = apart & (F.col("a.node") < F.col("b.node"))
+        else:
+            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "fp", "root"))
+            b = rooted.groupBy("at").agg(hub.alias("hub")).select("at", "hub.node", "hub.fp", "hub.root").alias("b")
+        pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        fresh, _ = written(pairs.join(tried, ["u", "v"], "left_anti"), "candidates")
+        found, _ = written(checked(fresh), "links")
+        linked = linked.unionByName(found)
+        stars = components(linked).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if last:
+            break
+        tried, before = tried.unionByName(fresh), left
+    return nodes.select("key", "node"), stars
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: that of the smallest doc_id, of none if all lack it.
 
     Rows are told apart by doc_id and text, so rows that share a doc_id, or lack it, are grouped by
-    their texts like others. Null texts and those without words are equal. All columns of docs are returned.
+    their texts like others. Null texts and those without words are equal. Of rows that repeat both
+    doc_id and text one stays. An empty table gives none. All columns of docs are returned.
     """
-    stars = links(docs, text_col, size, least)
+    nodes, stars = links(docs, text_col, size, least)
     marked = docs.select(F.col(id_col).cast("long").alias("_id"), _key(text_col).alias("key"))
     # of each text the smallest id first, so that what is joined has a row for each text
     ids = marked.groupBy("key").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("key").alias("at"))).alias("first"))
-    rooted = ids.join(stars, "key", "left").select(F.coalesce("root", "key").alias("root"), "first")
+    rooted = ids.join(nodes, "key").join(stars, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.none").alias("_none"), F.coalesce("first.id", F.lit(0).cast("long")).alias("_id"), F.col("first.at").alias("_key"))
     # null ids as a mark and 0, so that the join and what drops repeated rows share one shuffle
     row = ["_none", "_id", "_key"]

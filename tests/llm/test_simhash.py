@@ -17,8 +17,8 @@ def brute_fingerprint(text, size=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(marks):
-    """{fingerprint: root} of all pairs within two bits."""
+def brute_components(marks, radius=2):
+    """{fingerprint: root} of all pairs within some bits."""
     parent = {m: m for m in marks}
 
     def root(x):
@@ -27,7 +27,7 @@ def brute_components(marks):
         return x
 
     for a, b in itertools.combinations(set(marks), 2):
-        if (a ^ b).bit_count() <= 2:
+        if (a ^ b).bit_count() <= radius:
             parent[root(a)] = root(b)
     return {m: root(m) for m in marks}
 
@@ -48,24 +48,24 @@ def test_masks_cover_every_pair(radius):
         assert any(not differing & m for m in masks)
 
 
-@pytest.mark.parametrize("crowd", [512, 3])
-def test_links_reach_what_all_pairs_reach(spark, crowd):
+@pytest.mark.parametrize("radius, crowd", [(0, 3), (1, 512), (1, 1), (2, 512), (2, 3), (4, 3)])
+def test_links_reach_what_all_pairs_reach(spark, radius, crowd):
     """Chains and clusters of fingerprints; a small crowd sends all buckets the way of the crowded ones."""
     rng = random.Random(8)
     marks = {0, (1 << 64) - 1, 1 << 63}
-    for _ in range(40):
+    for _ in range(40 if radius < 4 else 8):
         x = rng.getrandbits(64)
         for _ in range(rng.randint(1, 8)):
             marks.add(x)
-            x ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3)))
+            x ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, radius + 1)))
     base = rng.getrandbits(64)
     marks |= {base ^ (1 << i) for i in range(30)}
-    nodes = spark.createDataFrame([(simhash._signed(m),) for m in marks], "fp long")
-    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(nodes, crowd=crowd).collect()]
-    assert all((a ^ b).bit_count() <= 2 for a, b in edges)
-    stars = {r.u % (1 << 64): r.v % (1 << 64) for r in components(simhash.links(nodes, crowd=crowd)).collect()}
+    nodes = spark.createDataFrame([(simhash.signed(m),) for m in marks], "fp long")
+    edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.links(nodes, radius, crowd).collect()]
+    assert all((a ^ b).bit_count() <= radius for a, b in edges)
+    stars = {r.u % (1 << 64): r.v % (1 << 64) for r in components(simhash.links(nodes, radius, crowd)).collect()}
     found, wanted = {}, {}
-    for m, root in brute_components(marks).items():
+    for m, root in brute_components(marks, radius).items():
         wanted.setdefault(root, set()).add(m)
         found.setdefault(stars.get(m, m), set()).add(m)
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, wanted.values()))
@@ -84,15 +84,11 @@ def test_near_duplicates_equal_brute_force(spark):
             least[roots[m]] = min(least.get(roots[m], i), i)
     wanted = sorted(((i, f"{m:016x}", least.get(roots[m])) for (i, _), m in zip(rows, marks)), key=repr)
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect()), key=repr) == wanted
-    kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
-    assert kept.where("doc_id is null").count() == 1
 
 
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
-    assert simhash.near_duplicates(docs).count() == 0 and simhash.keep_first(docs).count() == 0
+    assert simhash.near_duplicates(docs).count() == 0
 
 
 def test_long_chain_becomes_one_component(spark):

@@ -1,11 +1,14 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from plankit.llm import similar
 
 
-def brute(texts, least=0.8):
-    """The root of each text, by all pairs."""
+def brute(texts, least=0.8, candidates=False):
+    """The root of each text, by all pairs; or by those alone that are near in a fingerprint."""
+    marks = [similar.prints((t or "").encode()) for t in texts]
     sets = []
     for t in texts:
         words = (t or "").lower().split()
@@ -13,7 +16,8 @@ def brute(texts, least=0.8):
     root = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            near = not candidates or any(((a ^ b) % (1 << 64)).bit_count() <= similar.RADIUS for a, b in zip(marks[i], marks[j]))
+            if near and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
                 root = [root[j] if r == root[i] else r for r in root]
     return root
 
@@ -44,5 +48,31 @@ def test_stage_keeps_one_of_texts_that_are_similar(spark):
     assert sorted((r.doc_id for r in found.collect()), key=repr) == sorted(wanted, key=repr)
 
 
+def test_rows_that_share_a_doc_id_are_told_apart(spark):
+    rows = [(1, "alpha one two three four five", 1), (5, "alpha one two three four five", 2), (5, "beta six seven eight nine ten", 3), (5, "beta six seven eight nine ten", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    assert sorted(map(tuple, similar.keep_first(docs).collect())) == [rows[0], rows[2]]
+
+
+@pytest.mark.parametrize("rounds, few", [(0, 4), (3, 0)])
+def test_groups_without_a_middle_are_whole(spark, monkeypatch, rounds, few):
+    """Chains, of which neighbours alone are similar, by all candidates left at once and by hubs alone at first."""
+    monkeypatch.setattr(similar, "ROUNDS", rounds)
+    monkeypatch.setattr(similar, "FEW", few)
+    rng = random.Random(4)
+    texts = []
+    for chain in range(4):
+        words = [f"w{chain}.{i}" for i in range(120)]
+        for i in range(10):
+            words[rng.randrange(120)] = f"new{i}"
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = {}
+    for i, r in enumerate(brute(texts, candidates=True)):
+        wanted.setdefault(r, i)
+    assert len(wanted) < 8
+    assert sorted(r.doc_id for r in similar.keep_first(docs).collect()) == sorted(wanted.values())
+
+
 def test_no_documents(spark):
     assert similar.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
