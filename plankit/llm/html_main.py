@@ -1,8 +1,8 @@
 """Main text of web pages by a graphical model on the DOM tree.
 
 Each block element of a page is a variable: content or not. A potential on each edge of the tree
-couples it with its parent, given what is seen of it (tag, words of class, id and role, share of text
-in links, form controls). The graph is a tree, so sum-product messages, once upward and once downward,
+couples it with its parent, given what is seen of it: tag, the structure of what it holds (amounts of
+text and of links, paragraphs, form controls), and words of class, id and role, where they say anything. The graph is a tree, so sum-product messages, once upward and once downward,
 give the exact marginals. The potentials are counted, with smoothing, from labelled pages: pages whose
 elements say in a data-label attribute whether they are content.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 from math import exp, log
@@ -49,11 +49,11 @@ _NAMED = frozenset(("class", "id", "role"))
 class Block:
     """A block element: its parent's number, what is seen of it, and its label in a labelled page."""
 
-    __slots__ = ("chars", "controls", "label", "link_chars", "parent", "seen", "tag")
+    __slots__ = ("anchors", "chars", "controls", "label", "link_chars", "parent", "seen", "tag")
 
     def __init__(self, parent: int, tag: str, seen: list[str], label: int | None):
         self.parent, self.tag, self.seen, self.label = parent, tag, seen, label
-        self.chars = self.link_chars = self.controls = 0
+        self.chars = self.link_chars = self.anchors = self.controls = 0
 
 
 def _seen(tag: str, attributes: str, labelled: bool) -> tuple[list[str], int | None]:
@@ -108,9 +108,10 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
     blocks = [Block(-1, "#page", [], None)]
     runs: list[tuple[int, list[str]]] = []
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements, inline ones too; the block each is in
+    open_at: dict[str, list[int]] = defaultdict(list)  # where the open elements of each tag stand in the stack
+    open_blocks = [0]  # and those that are no inline ones
     links, now, pieces, at = 0, 0, [], 0
     apart: dict[int, int] | None = None
-    opened = Counter()  # open elements by tag, so that an end tag without a start is not looked for
 
     def broken() -> None:
         nonlocal pieces
@@ -118,14 +119,24 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
             runs.append((now, pieces))
             pieces = []
 
+    def push(tag: str) -> None:
+        open_at[tag].append(len(stack))
+        stack.append((tag, now))
+
     def pop_to(depth: int) -> None:
         nonlocal now, links
         for tag, _ in stack[depth:]:
             links -= tag == "a"
-            opened[tag] -= 1
+            open_at[tag].pop()
         del stack[depth:]
+        while open_blocks[-1] >= depth:
+            open_blocks.pop()
         now = stack[-1][1]
 
+    def innermost(tags: tuple[str, ...]) -> int:
+        """Where the innermost open element of these tags stands; 0 if there is none."""
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
     def text(some: str) -> None:
         if not some.isspace():
             some = unescape(some) if "&" in some else some
@@ -144,14 +155,12 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
             continue
         tag = tag.lower()
         if match[1]:
-            for depth in () if not opened[tag] else range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    if any(t not in _INLINE for t, _ in stack[depth:]):
-                        if tag in _INLINE and any(t not in _INLINE for t, _ in stack[depth + 1 :]):
-                            break  # an inline element does not end the blocks inside it
-                        broken()
-                    pop_to(depth)
-                    break
+            depth = innermost((tag,))
+            if not depth or (tag in _INLINE and open_blocks[-1] > depth):
+                continue  # an inline element does not end the blocks inside it
+            if open_blocks[-1] >= depth:
+                broken()
+            pop_to(depth)
             continue
         if tag in _RAW:
             blocks[now].controls += tag in _CONTROLS
@@ -172,27 +181,21 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
             elif tag in _CONTROLS:
                 blocks[now].controls += 1
             if tag not in _VOID and not (tag in _FORMULA and _closed(match[3])):
-                stack.append((tag, now))
-                opened[tag] += 1
+                push(tag)
                 links += tag == "a"
+                blocks[now].anchors += tag == "a"
             continue
         broken()
         if tag in _VOID:
             continue
-        for depth in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph, with what is open in it
-            if stack[depth][0] == "p":
-                pop_to(depth)
-                break
-            if stack[depth][0] not in _INLINE:
-                break
+        if stack[open_blocks[-1]][0] == "p":  # a block ends an open paragraph, with what is open in it
+            pop_to(open_blocks[-1])
         if tag in _ENDS:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in _SCOPE.get(tag, ()):
+            scope = innermost(_SCOPE.get(tag, ()))
+            while (depth := innermost(_ENDS[tag])) > scope:
+                pop_to(depth)
+                if tag != "tr":
                     break
-                if stack[depth][0] in _ENDS[tag]:
-                    pop_to(depth)
-                    if tag != "tr":
-                        break
         seen, label = _seen(tag, match[3], labelled)
         if tag == "xmp":  # preformatted text that is not parsed
             blocks.append(Block(now, "pre", seen, label))
@@ -205,8 +208,8 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
             continue
         blocks.append(Block(now, tag, seen, label))
         now = len(blocks) - 1
-        stack.append((tag, now))
-        opened[tag] += 1
+        open_blocks.append(len(stack))
+        push(tag)
     if at < len(page):
         text(page[at:])
     broken()
@@ -214,17 +217,29 @@ def parse(page: str, labelled: bool = True) -> tuple[list[Block], list[tuple[int
 
 
 def _features(blocks: list[Block]) -> None:
-    """Add to what is seen of each block its tag with the share of links, and the controls, in all that it holds."""
-    chars, links, controls = ([getattr(b, k) for b in blocks] for k in ("chars", "link_chars", "controls"))
+    """Add to what is seen of each block the structure of all that it holds.
+
+    Its tag with the share of text in links; how much text there is, of its own and against its
+    parent's, with that share; how many long paragraphs; how long its links are; form controls.
+    """
+    chars, links, anchors, controls = ([getattr(b, k) for b in blocks] for k in ("chars", "link_chars", "anchors", "controls"))
+    long = [int(b.tag == "p" and b.chars >= 60) for b in blocks]
     for i in range(len(blocks) - 1, 0, -1):
         parent = blocks[i].parent
-        chars[parent] += chars[i]
-        links[parent] += links[i]
-        controls[parent] += controls[i]
+        for sums in (chars, links, anchors, controls, long):
+            sums[parent] += sums[i]
     for i, b in enumerate(blocks):
-        b.seen.append(f"{b.tag} links {min(3, 4 * links[i] // chars[i])}" if chars[i] else b.tag)
+        share = min(3, 4 * links[i] // chars[i]) if chars[i] else "none"
+        size = min(12, chars[i].bit_length())
+        b.seen += [b.tag, f"{b.tag} size {size} links {share}", f"paragraphs {min(3, long[i])}"]
+        if i:
+            b.seen.append(f"{b.tag} in {blocks[b.parent].tag}")
+        if i and chars[i]:
+            b.seen += [f"part {4 * chars[i] // chars[b.parent]} of {min(12, chars[b.parent].bit_length())}", f"of page {4 * chars[i] // chars[0]}"]
+        if anchors[i]:
+            b.seen.append(f"{b.tag} anchors {min(3, anchors[i])} of {min(6, (links[i] // anchors[i]).bit_length())}")
         if controls[i]:
-            b.seen.append("controls")
+            b.seen.append(f"controls {size}")
 
 
 class Model:
@@ -278,10 +293,12 @@ class Model:
         return [b[1] for b in belief]
 
 
-def train(pages: list[str], weight: float = 0.5) -> Model:
+def train(pages: list[str], weight: float = 0.5, backed: float = 4.0) -> Model:
     """Count potentials from labelled pages. A block without data-label has its parent's; the page is content.
 
-    weight: the counts added to each feature's, for and against.
+    weight: the counts added to each feature's, for and against, by a block's label; backed: the counts
+    that this adds to those by its parent's label too, so that pairs of labels that are rare, or never
+    met, have the likelihoods of the block's label.
     """
     pairs = [(0, 0), (0, 1), (1, 0), (1, 1)]
     seen, total = {p: Counter() for p in pairs}, Counter()
@@ -294,7 +311,10 @@ def train(pages: list[str], weight: float = 0.5) -> Model:
             total[above, b.label] += 1
             seen[above, b.label].update(b.seen)
     known = set().union(*seen.values())
-    likelihood = {s: tuple(log((seen[p][s] + weight) / (total[p] + 2 * weight)) for p in pairs) for s in known}
+    likelihood = {}
+    for s in known:
+        own = [(seen[0, y][s] + seen[1, y][s] + weight) / (total[0, y] + total[1, y] + 2 * weight) for y in (0, 1)]
+        likelihood[s] = tuple(log((seen[p][s] + backed * own[p[1]]) / (total[p] + backed)) for p in pairs)
     edges = tuple(log((total[p] + weight) / (total[p[0], 0] + total[p[0], 1] + 2 * weight)) for p in pairs)
     return Model(likelihood, edges)
 
@@ -308,14 +328,23 @@ def main_text(page: str, model: Model) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
-    """Pages to train on: articles among menus, notices, adverts, forms and comments, in semantic and in plain markup."""
+def labelled_pages(count: int = 800, seed: int = 11) -> list[str]:
+    """Pages to train on: articles among menus, notices, adverts, forms and comments, in semantic and in plain markup.
+
+    Two of five elements have no name or one that says nothing, so that structure has to decide.
+    """
     rng = random.Random(seed)
 
     def words(low: int, high: int) -> str:
         return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
 
+    def nameless() -> str:
+        """A name that says nothing, as build tools make them."""
+        return rng.choice(("css-", "sc-", "", "")) + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randint(4, 7)))
+
     def mark(tag: str, inner: str, label: int | None = None, named: str = "") -> str:
+        kind = rng.random()
+        named = named if kind < 0.6 else nameless() if kind < 0.8 else ""
         name = f' {rng.choice(("class", "class", "id"))}="{named}"' if named else ""
         return f"<{tag}{name}{'' if label is None else f' data-label={label}'}>{inner}</{tag}>"
 
@@ -325,9 +354,11 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
     def off(*names: str) -> str:
         return rng.choice(names) + rng.choice(("", "", "-wrap", " box", " main-" + names[0]))
 
-    def furniture() -> str:
+    def furniture(inside: bool = False) -> str:
         kind = rng.randrange(9)
         short = rng.choice(("p", "div", "span"))
+        if kind == 0 and not inside and rng.random() < 0.15:
+            return mark("ul", "".join(mark("li", f"<a href=/x>{words(1, 2)}</a>") for _ in range(rng.randint(3, 8))), 0)
         if kind == 0:
             return mark(*(("nav", links(3, 8), 0) if rng.random() < 0.6 else ("div", links(3, 8), 0, off("menu", "nav", "navbar", "navigation", "breadcrumb", "toolbar"))))
         if kind == 1:
@@ -358,19 +389,22 @@ def labelled_pages(count: int = 500, seed: int = 11) -> list[str]:
         for _ in range(rng.randint(1, 9)):
             kind = rng.random()
             if kind < 0.75:
-                blocks.append(mark("p", words(1, 120)) if rng.random() < 0.8 else f"<p><b>{words(3, 30)}<br>")
+                blocks.append(mark("p", words(1, 120)) if rng.random() < 0.8 else f"<p><b>{words(3, 30)}<br>" if rng.random() < 0.6 else words(10, 90))
             else:
-                inner = "".join(mark("li", words(1, 15)) for _ in range(rng.randint(1, 5)))
-                blocks.append(rng.choice((mark("ul", inner), mark("h2", words(1, 6)), mark("blockquote", mark("p", words(5, 40))), mark("pre", words(5, 30)), mark("table", mark("tr", mark("td", words(1, 9)) * 2)), mark("figure", mark("figcaption", words(3, 12))))))
+                linked = rng.random() < 0.5  # sources, chapters, further reading
+                inner = "".join(mark("li", f"<a href=/x>{words(2, 9)}</a>" if linked else words(1, 15)) for _ in range(rng.randint(1, 6)))
+                blocks.append(rng.choice((mark("ul", inner), mark("ul", inner), mark("ol", inner), mark("h2", words(1, 6)), mark("blockquote", mark("p", words(5, 40))), mark("pre", words(5, 30)), mark("table", mark("tr", mark("td", words(1, 9)) * 2)), mark("figure", mark("figcaption", words(3, 12))))))
         if rng.random() < 0.3:
-            blocks.insert(rng.randint(1, len(blocks)), furniture())
+            blocks.insert(rng.randint(1, len(blocks)), furniture(inside=True))
         if rng.random() < 0.2:
             blocks.append(comments())
+        if rng.random() < 0.25:  # text without paragraphs, and short ones
+            blocks = ["<br><br>".join(words(1, 60) for _ in range(rng.randint(1, 6)))] if rng.random() < 0.5 else [mark("p", words(1, 4)), words(1, 4), mark("ul", mark("li", words(1, 2)) * 2)][: rng.randint(1, 3)]
         inner = "".join(blocks)
         kind = rng.random()
-        if kind < 0.55:
+        if kind < 0.4:
             return mark("article", inner, 1, rng.choice(("", "", "post", "story")))
-        if kind < 0.75:
+        if kind < 0.5:
             return mark("main", inner, 1, rng.choice(("", "content")))
         return mark(rng.choice(("div", "section")), inner, 1, rng.choice(("content", "article", "post", "entry", "story", "article body", "post content", "main content", "text")))
 

@@ -1,3 +1,9 @@
+import re
+import time
+from html import unescape
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 
 from plankit.llm import html_main
@@ -82,3 +88,40 @@ def test_every_row_of_pages(spark, model):
 def test_articles_go_on_after_elements_that_are_apart(model, inside, kept, later):
     page = f"<body><article><h1>Head</h1>{inside}<p>The text that follows goes on.</p></article>{later}</body>"
     assert html_main.main_text(page, model) == f"Head\n{kept}The text that follows goes on."
+
+
+TEXT = "some words of a text that goes on and on, with commas. " * 8
+MENU = "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li><li><a href=z>More</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><nav>{MENU}</nav><div class='css-1a2b'><p>{TEXT}</p></div><footer>&copy; x</footer></body>", TEXT.strip()),
+        (f"<body><div class='css-1a2b'>{TEXT}</div></body>", TEXT.strip()),
+        (f"<body><div class='css-9z'>{MENU}</div><div class='css-1a2b'><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div><div class='q1'><p>Subscribe</p><form><input></form></div></body>", f"Head\n{TEXT.strip()}\n{TEXT.strip()}"),
+        ("<article><h1>T</h1><p>Para text that is long enough to be read.</p><ul><li><a href=1>First source of the text</a></li><li><a href=2>Second one</a></li></ul></article>", "T\nPara text that is long enough to be read.\nFirst source of the text\nSecond one"),
+    ],
+)
+def test_structure_decides_where_names_say_nothing(model, page, text):
+    assert html_main.main_text(page, model) == text
+
+
+@pytest.mark.parametrize("n", [20_000])
+@pytest.mark.parametrize("parts", [("<b>", "<div></div>"), ("<div>", "</b>"), ("<p><i>", "<li>"), ("<table><tr><td><b>", ""), ("<svg>", ""), ("<ul><li>", "<li>")])
+def test_nested_elements_cost_in_proportion(model, n, parts):
+    began = time.perf_counter()
+    html_main.main_text(parts[0] * n + parts[1] * n, model)
+    assert time.perf_counter() - began < 2
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_pages_equal_their_articles(spark, model):
+    """The whole table against its articles, cut out by a pattern."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    wanted = {}
+    for page, html in zip(*pq.read_table(path, columns=["page_id", "html"]).to_pydict().values()):
+        inside = re.search("<article>(.*?)</article>", html, re.S)[1]
+        blocks = [re.sub("<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x) for x in re.split("</?(?:h1|p)>", inside)]
+        wanted[page] = "\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
+    assert {r.page_id: r.text for r in html_main.extract(spark.read.parquet(path), model).collect()} == wanted
