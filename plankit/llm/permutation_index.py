@@ -1,11 +1,11 @@
 """Approximate nearest neighbours by a permutation index (in the manner of the MI-File).
 
-A vector is represented by the order of its nearest pivots. The index is dealt into blocks of bounded
-size; a block posts each of its vectors in the inverted file of each of the vector's nearest pivots,
-with the pivot's place in the vector's order. A query walks the files of its own nearest pivots and
-adds up footrule distances (how far apart a pivot's places are; a pivot that a vector was not posted
-under counts as the place after the last). Vectors within a footrule bound are reranked by their
-exact inner product. Equal vectors are indexed as one, with as many ids as an answer can need.
+A vector is represented by the order of the pivots by nearness. The index is dealt into blocks of
+bounded size; a block posts each of its vectors in the inverted file of each pivot, with the pivot's
+place in the vector's order. A query walks the files and adds up footrule distances: how far apart the
+places of a pivot are in the two orders. The vectors of a block are ranked by that, and the first SHARE
+of them, ties at the end included, are reranked by their exact inner product; of no others it is
+computed. Equal vectors are indexed as one, with as many ids as an answer can need.
 """
 
 from __future__ import annotations
@@ -22,26 +22,24 @@ from plankit.llm.arrow import map_arrow, ship
 from plankit.llm.scratch import written
 
 #: Pivots: a bounded sample, those vectors first in the order of a hash of their id.
-PIVOTS = 64
-#: Pivots under which a vector is posted, and pivots whose files a query walks.
-POSTED, PROBED = 16, 8
-#: Footrule distance, as a share of the largest there is, up to which vectors are reranked.
-BOUND = 0.93
+PIVOTS = 128
+#: The share of a block's vectors, first by footrule distance, that are reranked; and how many at least for each answer.
+SHARE, LEAST = 0.25, 4
 BLOCK, QUERY_BLOCK = 8192, 4096
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id long, v array<double>): the rows with an id whose vector is not null, not zero, and finite throughout.
-
-    Of vectors of different lengths, those of the most frequent length stay (of equally frequent ones,
-    the longest), since others have no inner product with them.
-    """
+    """(vec_id long, v array<double>): the rows with an id whose vector is not null, not zero, and finite throughout."""
     v = F.col("v")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = rows.where(v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0))
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.size("v") == length.n) if length else rows
+    return rows.where(v.isNotNull() & ~odd & F.exists(v, lambda x: x != 0))
+
+
+def common_length(rows: DataFrame) -> int | None:
+    """The most frequent length of the vectors (of equally frequent ones, the longest); None without vectors."""
+    found = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return found.n if found else None
 
 
 def classes(rows: DataFrame, ids: int) -> DataFrame:
@@ -59,8 +57,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 0))
 
 
-def represented(of: DataFrame, pivots: np.ndarray, length: int, extra: str) -> DataFrame:
-    """of (cid, v, ...) with v as bytes and the numbers of its ``length`` nearest pivots, nearest first."""
+def represented(of: DataFrame, pivots: np.ndarray, extra: str) -> DataFrame:
+    """of (cid, v, ...) with v as bytes, and the place of each pivot in the vector's order, the nearest being at 0."""
     names = of.columns
     shared = of.sparkSession.sparkContext.broadcast(pivots)
 
@@ -68,35 +66,37 @@ def represented(of: DataFrame, pivots: np.ndarray, length: int, extra: str) -> D
         for batch in batches:
             flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
             points = np.ascontiguousarray(flat, np.float64).reshape(batch.num_rows, -1)
-            order = np.argsort(-(points @ shared.value.T), axis=1, kind="stable")[:, :length].astype(np.uint16)
+            order = np.argsort(-(points @ shared.value.T), axis=1, kind="stable")
+            places = np.argsort(order, axis=1).astype(np.uint8)
             arrays = [pa.array([p.tobytes() for p in points], pa.binary()) if c == "v" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([o.tobytes() for o in order], pa.binary())], [*names, "near"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([p.tobytes() for p in places], pa.binary())], [*names, "places"])
+
+    return map_arrow(of, each, f"{extra}, places binary")
+
+
+def _places(column: pa.ChunkedArray, count: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(count, -1)
+
 
-    return map_arrow(of, each, f"{extra}, near binary")
+def footrule(files: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The footrule distance of each vector of a block to a query: files[p] holds pivot p's place in each one's order."""
+    total = np.zeros(files.shape[1], np.uint16)
+    for file, place in zip(files, places):
+        total += np.maximum(file, place) - np.minimum(file, place)
+    return total
 
 
-def _search_block(index: pa.Table, queries: pa.Table, pivots: int, bound: float, answers: int) -> pa.Table:
-    """The best ``answers`` of the block's vectors for each query: (qid, cid, ids, score)."""
+def _search_block(index: pa.Table, queries: pa.Table, share: float, answers: int) -> pa.Table:
+    """The best ``answers`` of the block's reranked vectors for each query: (qid, cid, ids, score)."""
     points, asked = _matrix(index["v"]), _matrix(queries["v"])
     cids = index["cid"].to_numpy()
-    near = np.frombuffer(b"".join(index["near"].to_pylist()), np.uint16).reshape(len(cids), -1)
-    posted = near.shape[1]
-    # the inverted files: vectors by pivot, and the place of the pivot in each vector's order
-    order = np.argsort(near.ravel(), kind="stable")
-    ends = np.searchsorted(near.ravel()[order], np.arange(pivots + 1))
-    members, places = order // posted, (order % posted).astype(np.int32)
-    walked = np.frombuffer(b"".join(queries["near"].to_pylist()), np.uint16).reshape(len(asked), -1)
-    furthest = sum(abs(posted - j) for j in range(walked.shape[1]))
+    files = np.ascontiguousarray(_places(index["places"], len(cids)).T)  # the inverted files
+    wanted = min(len(cids), max(LEAST * answers, math.ceil(share * len(cids))))
     found = []
-    for number, (query, files) in enumerate(zip(asked, walked)):
-        footrule = np.full(len(cids), furthest, np.int32)
-        for j, pivot in enumerate(files):
-            some = slice(ends[pivot], ends[pivot + 1])
-            footrule[members[some]] += np.abs(places[some] - j) - abs(posted - j)
-        near_by = np.flatnonzero(footrule <= bound * furthest)
-        if not len(near_by):
-            continue
-        scores = points[near_by] @ query if 3 * len(near_by) < len(cids) else (points @ query)[near_by]
+    for number, (query, places) in enumerate(zip(asked, _places(queries["places"], len(asked)))):
+        distance = footrule(files, places)
+        near_by = np.flatnonzero(distance <= np.partition(distance, wanted - 1)[wanted - 1])
+        scores = points[near_by] @ query
         if len(scores) > answers:
             least = np.partition(scores, len(scores) - answers)[len(scores) - answers]
             kept = np.flatnonzero(scores >= least)
@@ -104,8 +104,6 @@ def _search_block(index: pa.Table, queries: pa.Table, pivots: int, bound: float,
         else:
             kept = np.arange(len(scores))
         found.append((np.full(len(kept), number), near_by[kept]))
-    if not found:
-        return _FOUND.empty_table()
     asking, rows = map(np.concatenate, zip(*found))
     # the final measure, of each pair by itself, so that it depends on nothing else in the block
     score = np.einsum("ij,ij->i", points[rows], asked[asking])
@@ -115,16 +113,20 @@ def _search_block(index: pa.Table, queries: pa.Table, pivots: int, bound: float,
 _FOUND = pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, posted: int = POSTED, probed: int = PROBED, bound: float = BOUND, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PIVOTS, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries, its k nearest found rows of vectors, itself left out.
 
     Largest inner product first, ties to the smaller vec_id. Rows without id, and vectors that are
-    null, zero, or hold a null, NaN or infinite component take no part, as queries nor as candidates.
+    null, zero, or hold a null, NaN or infinite component take no part, as queries nor as candidates;
+    nor do vectors, of either table, of another length than the most frequent one of vectors.
     Rows that repeat an id and vector count once; a row repeating an id with another vector is another
     candidate of that id. Fewer candidates than k: all that were found. Empty tables give no rows.
+    Up to 256 pivots; with a share of 1 the answers are exact.
     """
     spark = vectors.sparkSession
     rows, asking = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
+    length = common_length(rows)
+    rows, asking = (r.where(F.size("v") == F.lit(length)) for r in (rows, asking))
     index, _ = written(classes(rows, k + 1), "vectors")
     size = index.count()
     chosen = index.orderBy(F.xxhash64("cid"), "cid").limit(pivots).select("v").collect()
@@ -136,13 +138,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = PI
     blocks, query_blocks = math.ceil(size / BLOCK), max(1, math.ceil(asked.count() / QUERY_BLOCK))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = represented(index, base, posted, "v binary, cid long, ids array<long>")
+    left = represented(index, base, "v binary, cid long, ids array<long>")
     left = left.withColumn("block", dealt("cid", blocks)).withColumn("query_block", every(query_blocks))
-    right = represented(asked, base, probed, "v binary, qid long")
+    right = represented(asked, base, "v binary, qid long")
     right = right.withColumn("query_block", dealt("qid", query_blocks)).withColumn("block", every(blocks))
 
     def cell(some: pa.Table, them: pa.Table) -> pa.Table:
-        return _search_block(some, them, len(base), bound, k + 1) if some.num_rows and them.num_rows else _FOUND.empty_table()
+        return _search_block(some, them, share, k + 1) if some.num_rows and them.num_rows else _FOUND.empty_table()
 
     ship(spark)
     keys = ["block", "query_block"]

@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import numpy as np
+import pytest
 
 from plankit.llm import permutation_index
 
@@ -37,7 +40,7 @@ def test_everything_reranked_is_exact_with_copies_and_odd_vectors(spark):
     rows += [rows[20]]
     vectors = frame(spark, rows)
     asked = vectors.where("vec_id % 20 = 0")
-    found = found_of(permutation_index.search(vectors, asked, bound=1.0))
+    found = found_of(permutation_index.search(vectors, asked, share=1.0))
     wanted = brute(rows[:-1], lambda i: i % 20 == 0)
     assert found.keys() == wanted.keys()
     for q, near in wanted.items():
@@ -61,10 +64,33 @@ def test_many_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     vectors = frame(spark, [(i, rng.normal(size=6).tolist()) for i in range(120)])
     asked = vectors.where("vec_id % 20 = 0")
-    one = found_of(permutation_index.search(vectors, asked, bound=1.0))
+    one = found_of(permutation_index.search(vectors, asked, share=1.0))
     monkeypatch.setattr(permutation_index, "BLOCK", 17)
     monkeypatch.setattr(permutation_index, "QUERY_BLOCK", 2)
-    assert found_of(permutation_index.search(vectors, asked, bound=1.0)) == one
+    assert found_of(permutation_index.search(vectors, asked, share=1.0)) == one
+
+
+def test_footrule_is_the_sum_over_all_pivots():
+    rng = np.random.default_rng(3)
+    places = np.argsort(rng.random((40, 256)), axis=1).astype(np.uint8)
+    wanted = np.abs(places.astype(int) - places[7].astype(int)).sum(axis=1)
+    assert permutation_index.footrule(np.ascontiguousarray(places.T), places[7]).tolist() == wanted.tolist()
+
+
+def test_queries_of_other_lengths_take_no_part(spark):
+    vectors = frame(spark, [(i, [float(i), 1.0, 2.0]) for i in range(1, 6)] + [(20, [1.0, 2.0])])
+    asked = frame(spark, [(1, [1.0, 1.0, 2.0]), (20, [1.0, 2.0]), (40, [3.0, 4.0])])
+    assert found_of(permutation_index.search(vectors, asked)).keys() == {1}
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="no test tables")
+def test_recall_on_the_table(spark):
+    """The whole table of sf0.1 against brute force."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    found, wanted = found_of(permutation_index.search(vectors, vectors.where("vec_id % 20 = 0"))), brute(rows, lambda i: i % 20 == 0)
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in near}) for q, near in wanted.items())
+    assert hits / sum(map(len, wanted.values())) >= 0.95
 
 
 def test_few_or_no_vectors(spark):
