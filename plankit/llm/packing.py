@@ -66,33 +66,52 @@ _PIECE = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
 
 
 class _Sums:
-    """Which lengths are left, and which one, two or three of them add up to a given sum."""
+    """An index of the lengths at hand by what one, two or three of them add up to, and how many are left of each.
+
+    The entries of a sum lie side by side, the longest member first. Those of three are a length and a
+    sum of two, which is looked up in turn. Built once; counts only fall, so an entry's check is
+    against what is left.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.copy()
+        top = len(counts) - 1
+        have = np.flatnonzero(counts)
+        longer, shorter = (x.ravel() for x in np.meshgrid(have, have, indexing="ij"))
+        some = (longer >= shorter) & (longer + shorter <= top)
+        self.longer, self.shorter, self.pair_at = self._by_sum(longer[some], shorter[some], top)
+        sums = np.unique(self.longer + self.shorter)
+        single, of_two = (x.ravel() for x in np.meshgrid(have, sums, indexing="ij"))
+        some = (single + of_two <= top) & (2 * single >= of_two)
+        self.single_of, self.pair_of, self.triple_at = self._by_sum(single[some], of_two[some], top)
+
+    @staticmethod
+    def _by_sum(first: np.ndarray, second: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((-first, first + second))
+        first, second = first[order], second[order]
+        return first, second, np.searchsorted(first + second, np.arange(top + 2))
 
     def single(self, total: int) -> tuple[int, ...] | None:
         return (total,) if self.left[total] else None
 
     def pair(self, total: int, most: int | None = None) -> tuple[int, ...] | None:
         """The pair with the longest member, of at most ``most``."""
-        top = min(total - 1, most or total)
-        if top < (total + 1) // 2:
-            return None
-        longer = np.arange((total + 1) // 2, top + 1)
-        found = np.flatnonzero((self.left[longer] > 0) & (self.left[total - longer] > (longer * 2 == total)))
-        return (int(longer[found[-1]]), int(total - longer[found[-1]])) if len(found) else None
+        some = slice(self.pair_at[total], self.pair_at[total + 1])
+        longer, shorter = self.longer[some], self.shorter[some]
+        found = np.flatnonzero((self.left[longer] > 0) & (self.left[shorter] > (longer == shorter)) & (longer <= (most or total)))
+        return (int(longer[found[0]]), int(shorter[found[0]])) if len(found) else None
 
     def triple(self, total: int) -> tuple[int, ...] | None:
         """The triple with the longest member, then the longest second one."""
-        for longest in np.flatnonzero(self.left[: total - 1])[::-1]:
-            if 3 * longest < total:
-                break
+        for at in range(self.triple_at[total], self.triple_at[total + 1]):
+            longest, rest = int(self.single_of[at]), int(self.pair_of[at])
+            if not self.left[longest]:
+                continue
             self.left[longest] -= 1
-            rest = self.pair(total - int(longest), int(longest))
+            found = self.pair(rest, longest)
             self.left[longest] += 1
-            if rest:
-                return (int(longest), *rest)
+            if found:
+                return (longest, *found)
         return None
 
     def take(self, lengths: tuple[int, ...]) -> int:
@@ -200,8 +219,9 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Where each piece of each document lies, and the written table of pieces with their ids.
 
-    The first has doc_id, piece, start, length, ids_crc32, sequence_id and offset. Rows without doc_id
-    are packed too; repeated rows are packed each; other columns of docs are not looked at.
+    The first has doc_id, piece, start, length, ids_crc32, sequence_id and offset. A null or empty text
+    is a piece of the end id alone. Rows without doc_id are packed too; repeated rows are packed each; an
+    empty table gives no rows; other columns of docs are not looked at.
     """
     made, _ = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     slim = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")

@@ -36,11 +36,12 @@ def test_exact_combinations_of_one_two_and_three():
     assert packing.plan({60: 2, 4: 1, 3: 1, 1: 1}, 64) == [((60, 4), 1), ((60, 3, 1), 1)]
     assert packing.plan({50: 1, 8: 1, 4: 1, 2: 1}, 64) == [((50, 8, 4, 2), 1)]
     sums = packing._Sums(np.array([0, 0, 2, 0, 1, 0, 1, 0, 0]))
+    assert [sums.longer[a:b].tolist() for a, b in itertools.pairwise(sums.pair_at)] == [[], [], [], [], [2], [], [4], [], [6, 4]]
     assert sums.pair(4) == (2, 2) and sums.pair(8) == (6, 2) and sums.triple(8) == (4, 2, 2) and sums.triple(6) is None
 
 
 def test_pieces_lie_gapless_and_hold_the_library_ids(spark):
-    texts = ["", None, "word " * 3000, "a", "the quick brown fox " * 20, "  two  spaces\n", "é" * 900, "a"]
+    texts = ["", None, "word " * 3000, "a", "the quick brown fox " * 20, "  two  spaces\n", "é" * 900, "a", "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>  y"]
     rows = list(enumerate(texts * 6)) + [(None, "x y"), (3, "a")]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, length int, piece int").repartition(3)
     placed, made = packing.pack(docs, PATH)
