@@ -6,6 +6,12 @@ token-position rows, one for each byte. The recursive query joins each token and
 with the merge table, contracts each part's leftmost pair of minimum rank, and repeats until no part
 has a pair left. A text's ids are those of its parts. Decoding joins id-position rows with the
 vocabulary and aggregates the bytes in order of position.
+
+A part of many bytes would need as many rounds, so it goes into the query as overlapping windows. Ids
+are the encoding of a text if and only if each two neighbours are that of their own bytes. So where
+the encodings of two windows have a token in common, at one place, what the first has up to there
+and what the second has from there on together are the encoding of both. Windows without such a token
+are made anew, twice as long.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
+from plankit.llm.tokens import REMEMBERED as _REMEMBERED
 from plankit.llm.tokens import Encoder, slices, spaced_units, unit_text
 
-#: Bytes of parts in one recursive query, and ids in one decoding query: they bound its memory.
-_CHUNK_BYTES, _CHUNK_IDS = 500_000, 1_000_000
-#: A part longer than this goes round by round, so that its earlier states are not kept.
-_LONG = 64
+#: Bytes of parts in one recursive query, rows that it may make, and ids in one decoding query: they bound its memory.
+_CHUNK_BYTES, _CHUNK_ROWS, _CHUNK_IDS = 500_000, 6_000_000, 1_000_000
+#: Bytes of a window, of which half lie in the next one too.
+_WINDOW = 256
 
 # A token's key is its part's number and its byte's place there, so that one order serves all parts.
 _ENCODE = """
 WITH RECURSIVE steps AS (
-  SELECT w, w::BIGINT * 4096 + pos AS key, tok, false AS done FROM parts
+  SELECT w, w::BIGINT * {room} + pos AS key, tok, false AS done FROM parts
   UNION ALL
   SELECT * FROM (
     WITH paired AS MATERIALIZED (
@@ -45,20 +52,6 @@ WITH RECURSIVE steps AS (
     FROM paired p JOIN least l ON l.w = p.w WHERE l.gone IS NULL OR p.key <> l.gone))
 SELECT w, tok FROM steps WHERE done ORDER BY w, key"""
 
-# One round for long parts. Where a new token cannot be part of a pair of lower rank, contracting its
-# leftmost pair again and again is the same as contracting every second one of a run at once.
-_ROUND = """
-SELECT w, pos, tok FROM (
-  SELECT w, pos, CASE WHEN hit THEN new ELSE tok END AS tok, coalesce(lag(hit) OVER (PARTITION BY w ORDER BY pos), false) AS gone
-  FROM (SELECT *, new IS NOT DISTINCT FROM least AND least IS NOT NULL AND CASE WHEN least IN (SELECT id FROM early) THEN mine = best
-               ELSE (row_number() OVER (PARTITION BY w, new, k - nth ORDER BY pos)) % 2 = 1 END AS hit
-        FROM (SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS k, row_number() OVER (PARTITION BY w, new ORDER BY pos) AS nth,
-                     min(mine) OVER (PARTITION BY w) AS best, min(new) OVER (PARTITION BY w) AS least
-              FROM (SELECT s.*, m.new, m.new::BIGINT * 4294967296 + s.pos AS mine
-                    FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS nxt FROM state) s
-                    LEFT JOIN merges m ON m.l = s.tok AND m.r = s.nxt))))
-WHERE NOT gone"""
-
 _DECODE = "SELECT d, string_agg(b, '' ORDER BY pos) AS s FROM (SELECT d, pos, b FROM tokens JOIN vocabulary USING (id)) GROUP BY d"
 
 
@@ -74,14 +67,14 @@ class Bpe(Encoder):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.pattern = regex.compile(pattern)
         self.known, self.parts = {}, {}
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
         self.first = np.asarray([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:i]], ranks[t[i:]], n) for t, n in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        early = sorted({x for left, right, n in merges for x in (left, right) if n < x})
         self.base = duckdb.connect(":memory:")
         self.base.execute("SET threads = 1").fetchall()
         tables = {
             "merges": dict(zip(("l", "r", "new"), map(list, zip(*merges)))),
-            "early": {"id": early},
             "vocabulary": {"id": list(ranks.values()), "b": [t.decode("latin-1") for t in ranks]},
         }
         for name, columns in tables.items():
@@ -99,35 +92,52 @@ class Bpe(Encoder):
     def _contract(self, parts: list[bytes]) -> list[bytes]:
         """The ids of each part, as little-endian unsigned 32-bit bytes."""
         self.base.register("parts", self._rows(parts))
-        if max(map(len, parts)) <= _LONG:
-            found = self.base.sql(_ENCODE).to_arrow_table()
-        else:
-            self.base.execute("CREATE OR REPLACE TABLE state AS SELECT w, pos, tok FROM parts").fetchall()
-            count, before = self.base.sql("SELECT count(*) FROM state").fetchall()[0][0], -1
-            while count != before:
-                self.base.execute(f"CREATE OR REPLACE TABLE state AS {_ROUND}").fetchall()
-                count, before = self.base.sql("SELECT count(*) FROM state").fetchall()[0][0], count
-            found = self.base.sql("SELECT w, tok FROM state ORDER BY w, pos").to_arrow_table()
-            self.base.execute("DROP TABLE state").fetchall()
+        found = self.base.sql(_ENCODE.format(room=1 << max(map(len, parts)).bit_length())).to_arrow_table()
         self.base.unregister("parts")
         ends = np.searchsorted(found["w"].to_numpy(), np.arange(len(parts) + 1)).tolist()
         raw = found["tok"].to_numpy().astype("<u4").tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])]
 
+    def _contracted(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each part, of some distinct ones, by as many queries as memory asks for."""
+        made, ordered = {}, sorted(parts, key=len)
+        at = 0
+        while at < len(ordered):
+            to, size, rows = at, 0, 0
+            while to < len(ordered) and (to == at or (size + len(ordered[to]) <= _CHUNK_BYTES and rows + len(ordered[to]) ** 2 <= 2 * _CHUNK_ROWS)):
+                size, rows, to = size + len(ordered[to]), rows + len(ordered[to]) ** 2, to + 1
+            made |= zip(ordered[at:to], self._contract(ordered[at:to]))
+            at = to
+        return made
+
     def _learn(self, fresh: list[str]) -> dict[str, bytes]:
-        made = {}
-        for few in (True, False):
-            some = [p for p in fresh if (len(x := p.encode()) <= _LONG) == few and x]
-            ends = list(accumulate((len(p.encode()) for p in some), initial=0))
-            at = 0
-            while at < len(some):
-                to = at + 1
-                while to < len(some) and ends[to + 1] - ends[at] <= _CHUNK_BYTES:
-                    to += 1
-                made |= zip(some[at:to], self._contract([p.encode() for p in some[at:to]]))
-                at = to
+        made, left, window = {}, {p: p.encode() for p in fresh if p}, _WINDOW
+        while left:
+            step = window // 2
+            cut = {p: [x[i : i + window] for i in range(0, max(1, len(x) - step), step)] for p, x in left.items()}
+            found = self._contracted(list(dict.fromkeys(chain.from_iterable(cut.values()))))
+            made |= {p: x for p, windows in cut.items() if (x := self._joined([found[w] for w in windows], step)) is not None}
+            left, window = {p: x for p, x in left.items() if p not in made}, 2 * window
         return made
 
+    def _joined(self, windows: list[bytes], step: int) -> bytes | None:
+        """The ids of a part from those of its windows; None if two of them have no token in common."""
+        if len(windows) == 1:
+            return windows[0]
+        ids = [np.frombuffer(w, "<u4").astype(np.int64) for w in windows]
+        # a token by where it ends and its id, so that equal ones begin at one place too
+        tokens = [(np.cumsum(self.sizes[x]) + i * step << 32) | x for i, x in enumerate(ids)]
+        parts, first = [], 0
+        for i, (here, there) in enumerate(zip(tokens, tokens[1:])):
+            common = np.intersect1d(here[first:], there, assume_unique=True)
+            if not len(common):
+                return None
+            last, after = np.searchsorted(here, common[-1]) + 1, np.searchsorted(there, common[-1]) + 1
+            parts.append(ids[i][first:last])
+            first = after
+        parts.append(ids[-1][first:])
+        return np.concatenate(parts).astype("<u4").tobytes()
+
     def split(self, texts: pa.Array) -> pa.ListArray:
         return spaced_units(texts)
 
@@ -140,7 +150,7 @@ class Bpe(Encoder):
         if len(self.parts) + len(learnt) > self.remembered:
             self.parts = dict(islice(self.parts.items(), self.remembered * 4 // 5))
         room = max(0, self.remembered - len(self.parts))
-        self.parts |= {p: x for p, x in islice(learnt.items(), room) if len(p) <= _LONG}
+        self.parts |= {p: x for p, x in islice(learnt.items(), room) if len(p) <= _REMEMBERED}
         ids |= learnt
         return [b"".join([ids[p] for p in unit]) for unit in split]
 

@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_LONG = 64
+#: Characters of a unit, at most, that is remembered.
+REMEMBERED = 64
 #: Bytes of text that are encoded at a time.
 _SLICE_BYTES = 6 << 20
 # All that any of the libraries at hand takes for white space.
@@ -67,7 +68,7 @@ class Encoder:
             if len(self.known) + len(learnt) > self.remembered:  # the frequent ones came first, and stay
                 self.known = dict(islice(self.known.items(), self.remembered * 4 // 5))
             room = max(0, self.remembered - len(self.known))
-            self.known |= {u: x for u, x in islice(learnt.items(), room) if len(u) <= _LONG}
+            self.known |= {u: x for u, x in islice(learnt.items(), room) if len(u) <= REMEMBERED}
         laid = pa.array(found, pa.large_binary()).take(coded.indices)
         _, offsets, data = laid.buffers()
         starts = np.frombuffer(offsets, np.int64)[laid.offset : laid.offset + len(laid) + 1] if len(laid) else np.zeros(1, np.int64)
@@ -101,17 +102,29 @@ def cut_at(raw: bytes, ends: list[int]) -> list[bytes]:
 
 
 class _Library(Encoder):
-    """By the tokenizers library. Strings of special tokens are ordinary text."""
+    """By the tokenizers library, as it encodes by default. Texts with strings of added tokens, which it looks for first, are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.post_processor = None
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = {}
 
+    def many(self, texts: pa.Array) -> list[bytes]:
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for content in self.added:
+            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return super().many(texts)
+        made = super().many(pc.if_else(pa.array(whole), "", texts))
+        for i in np.flatnonzero(whole):
+            made[i] = self.ids(texts[i].as_py()).tobytes()
+        return made
+
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 

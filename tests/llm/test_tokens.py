@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -16,7 +17,7 @@ from plankit.llm import bpe_sql, token_files, tokens
 from plankit.llm.scratch import new_path
 
 BYTE, WORD, RANKS = map(public_tokenizers.path, ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
-ODD = ["", "  \n\t x  ", "'s don't ΣΣ \n\n  ", "<|endoftext|> hi", "é é\ńz", " 　x  \x00\x01", "ΑΣ ΑΣ. İI ﬁ", "\r\n\tfoo\x0b\x0cbar ", "a  b", "a  b", "a  b"]
+ODD = ["", "  \n\t x  ", "'s don't ΣΣ \n\n  ", "<|endoftext|> hi", "a <|endoftext|> b", "é<|startoftext|>  <|endoftext|>y z", "<|EndOfText|> <| endoftext |>", "é é\ńz", " 　x  \x00\x01", "ΑΣ ΑΣ. İI ﬁ", "\r\n\tfoo\x0b\x0cbar ", "a  b", "a  b", "a  b"]
 ODD += ["ab\x1c cd", " x", "x ", "\n", "a b\n", "♥ x ♥y", "\nfoo bar", "\n\nfoo", "a​b c", "x" * 5000, " " * 3000 + "y", "á ́b", "\U0001f600 \U0001f468‍\U0001f469", "﻿a ﻿ b"]
 
 
@@ -32,9 +33,7 @@ def reference():
 
 
 def library(path):
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 @pytest.mark.parametrize(("path", "kind"), [(BYTE, "byte_level"), (WORD, "words")])
@@ -77,6 +76,29 @@ def test_recursive_queries_equal_the_library(reference):
     assert worker.decode(ids) == [t.encode() for t in [*texts, ""]]
 
 
+LETTERS = {"letters": "abcdefghijklmnopqrstuvwxyz", "genes": "ACGT", "pairs": ["ab", "ba", "a"], "marks": "=-", "syllables": ["intern", "ation", "al", "ing", "the", "wh", "x"], "signs": "éü日本語"}
+
+
+@pytest.mark.parametrize("kind", [*LETTERS, "run", "long run"])
+def test_long_parts_equal_the_library(reference, kind):
+    rng = random.Random(9)
+    text = "".join(rng.choice(LETTERS[kind]) for _ in range(20_000)) if kind in LETTERS else "a" * 20_001 if kind == "run" else "-" * 40_003
+    worker = bpe_sql.Bpe(RANKS, public_tokenizers.PATTERN)
+    began = time.perf_counter()
+    assert worker.many(pa.array([text])) == [as_bytes(reference.encode_ordinary(text))]
+    assert time.perf_counter() - began < 20
+
+
+@pytest.mark.parametrize("window", [4, 10, 32])
+def test_windows_of_any_size_join(reference, monkeypatch, window):
+    monkeypatch.setattr(bpe_sql, "_WINDOW", window)
+    rng = random.Random(window)
+    kinds = [*LETTERS.values(), "a", "ing", "aA", "etaoin"]
+    texts = ["".join(rng.choice(kinds[i % len(kinds)]) for _ in range(rng.randint(1, 150))) for i in range(300)]
+    worker = bpe_sql.Bpe(RANKS, public_tokenizers.PATTERN)
+    assert worker.many(pa.array(texts)) == [as_bytes(reference.encode_ordinary(t)) for t in texts]
+
+
 def test_encoded_and_decoded_documents(spark, reference):
     rows = [(1, "Hello  wörld\n"), (2, ""), (3, None), (None, "x y"), (1, "Hello  wörld\n")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, ids int")
@@ -94,14 +116,24 @@ def test_encoded_and_decoded_documents(spark, reference):
 def test_boundaries_select(values, more):
     values = np.sort(np.asarray(values))
     made = token_files.EliasFano.encode(values, int(values[-1]) + more)
-    assert made.all().tolist() == values.tolist()
+    assert made.selected(0, len(values)).tolist() == values.tolist()
     assert [made.select(i) for i in range(0, len(values), 13)] == values[::13].tolist()
+    for first in {0, 1, len(values) // 2, len(values) - 1}:
+        for count in (1, 7, 300, 1000):
+            assert made.selected(first, count).tolist() == values[first : first + count].tolist()
+
+
+def test_doc_ids_of_any_size():
+    docs = [None, None, -(2**63), -5, 0, 0, 7, 2**40, 2**63 - 1]
+    for some in (docs, docs[:2], docs[2:3], [], docs[4:7]):
+        file = token_files.TokenFile(token_files.pack_file(0, 0, some, [1] * len(some), b"ab" * len(some), 2) + b"\n")
+        assert file.docs(0, 100).to_pylist() == some and file.docs(1, 3).to_pylist() == some[1:4]
 
 
 def test_boundaries_are_near_minimal():
     values = np.arange(0, 10_000_000, 1000)
     made = token_files.EliasFano.encode(values, 10_000_000)
-    bits = 8 * (len(made.lows) + len(made.highs) + 4 * len(made.samples))
+    bits = 8 * sum(map(len, made.parts()))
     assert bits / len(values) < 2.2 + np.log2(1000)
 
 
@@ -121,7 +153,7 @@ def test_files_round_trip(spark, file_ids):
     assert [r[1] for r in found] == [0, *np.cumsum([r[2] for r in found])[:-1].tolist()]
     one = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").first()
     file = token_files.TokenFile(bytes(one.content))
-    offsets = [*file.bounds.all().tolist(), file.total]
+    offsets = file.starts(0, file.n).tolist()
     assert all(file.tokens(i).tolist() == file.ids[offsets[i] : offsets[i + 1]].tolist() for i in range(file.n))
 
 
