@@ -4,13 +4,14 @@ A file holds the ids of consecutive documents (ascending doc_id), one array afte
 each document starts. The starts are a growing sequence of n numbers up to u: each one's low
 log2(u/n) bits are stored packed, the rest as a unary bit vector in which the i-th one-bit stands at
 (start >> low) + i; about 2 + log2(u/n) bits for a document instead of 64. Select (where is the i-th
-one-bit?) starts from a sample of every 256th one-bit and counts the bits of a few bytes.
-
-Layout, little-endian: MAGIC, 10 numbers of 8 bytes (file's place in order: task and its chunk;
-documents; ids; bytes of an id; low bits; then the sizes in bytes of the parts that follow): doc ids
-(8 bytes each, and a bit vector of nulls), low bits, high bits, select samples (4 bytes each), ids;
-a newline ends the file. Files are written by Spark's text writer, one row and so one file each, to
-any file system, and by its committer.
+one-bit?) starts from a sample of every 256th one-bit and counts the bits of a few bytes. The doc ids
+grow too, and are kept in the same way, as what they are above the smallest.
+
+Layout, little-endian: MAGIC, 15 numbers of 8 bytes (file's place in order: task and its chunk;
+documents; documents without id, which come first; smallest doc id; ids; bytes of an id; then for doc
+ids and for starts the number of low bits and the sizes in bytes of the three parts): doc ids, starts
+(for each of both low bits, high bits, and select samples of 4 bytes), ids; a newline ends the file. Files are written by Spark's text writer, one row and so one file each,
+to any file system, and by its committer.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import starts, written
 from plankit.llm.tokens import encoder, slices
 
-MAGIC = b"PKTOKEN1"
-_HEAD = 10
+MAGIC = b"PKTOKEN2"
+_HEAD = 15
 _SAMPLE = 256
-#: Ids in a file, at which a file is closed. Documents are never split over files.
-FILE_IDS = 3_000_000
+#: Ids, and documents, in a file, at which it is closed. Documents are never split over files.
+FILE_IDS, FILE_DOCS = 3_000_000, 200_000
 
 
 class EliasFano:
@@ -71,43 +72,71 @@ class EliasFano:
             low |= (int(self.lows[(first + k) // 8]) >> ((first + k) % 8) & 1) << k
         return (self._one(i) - i) << self.low | low
 
-    def all(self) -> np.ndarray:
-        """Every number, in order."""
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        bits = np.unpackbits(self.lows, count=self.n * self.low, bitorder="little").reshape(self.n, self.low)
-        low = bits.astype(np.int64) @ (1 << np.arange(self.low, dtype=np.int64)) if self.low else 0
-        return (ones - np.arange(self.n)) << self.low | low
+    def selected(self, first: int, count: int) -> np.ndarray:
+        """select() of ``count`` numbers in a row, from the sample before the first; unsigned. Only their bytes are looked at."""
+        count = max(0, min(count, self.n - first))
+        if not count:
+            return np.zeros(0, np.uint64)
+        block = first // _SAMPLE
+        start, stop = int(self.samples[block]), (first + count - 1) // _SAMPLE + 1
+        end = int(self.samples[stop]) + 1 if stop < len(self.samples) else 8 * len(self.highs)
+        bits = np.unpackbits(self.highs[start // 8 : (end + 7) // 8], bitorder="little")
+        bits[: start % 8] = 0
+        skipped = first - block * _SAMPLE
+        ones = np.flatnonzero(bits)[skipped : skipped + count] + start // 8 * 8
+        found = (ones - np.arange(first, first + count)).astype(np.uint64) << np.uint64(self.low)
+        if self.low:
+            a, b = first * self.low, (first + count) * self.low
+            bits = np.unpackbits(self.lows[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].reshape(count, self.low)
+            found |= bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low, dtype=np.uint64))
+        return found
+
+    def parts(self) -> list[bytes]:
+        return [self.lows.tobytes(), self.highs.tobytes(), self.samples.tobytes()]
 
 
 def pack_file(task: int, chunk: int, docs: list[int | None], lengths: list[int], ids: bytes, width: int) -> bytes:
-    """The bytes of a file, without the newline that ends it. ids: little-endian, width bytes each."""
+    """The bytes of a file, without the newline that ends it. docs: nulls first, then ascending; ids: little-endian, width bytes each."""
     ends = np.cumsum(lengths, dtype=np.int64)
     total = int(ends[-1]) if len(ends) else 0
     bounds = EliasFano.encode(ends - np.asarray(lengths, np.int64), total)
-    nulls = np.packbits([d is None for d in docs], bitorder="little") if docs else np.zeros(0, np.uint8)
-    parts = [np.asarray([d or 0 for d in docs], "<i8").tobytes() + nulls.tobytes(), bounds.lows.tobytes(), bounds.highs.tobytes(), bounds.samples.tobytes()]
-    head = np.asarray([task, chunk, len(docs), total, width, bounds.low, *map(len, parts)], "<i8")
-    return MAGIC + head.tobytes() + b"".join(parts) + ids
+    named = [d for d in docs if d is not None]
+    least = named[0] if named else 0
+    known = EliasFano.encode(np.asarray([d - least for d in named], np.uint64), named[-1] - least if named else 0)
+    parts = [*known.parts(), *bounds.parts()]
+    sizes = list(map(len, parts))
+    head = [task, chunk, len(docs), len(docs) - len(named), least, total, width, known.low, *sizes[:3], bounds.low, *sizes[3:]]
+    return MAGIC + np.asarray(head, "<i8").tobytes() + b"".join(parts) + ids
 
 
 class TokenFile:
-    """A file's contents, as they lie there: ids is a view, boundaries stay encoded."""
+    """A file's contents, as they lie there: ids is a view, boundaries and doc ids stay encoded."""
 
     def __init__(self, content: bytes):
         if content[: len(MAGIC)] != MAGIC or content[-1:] != b"\n":
             raise ValueError("not a token file")
         head = np.frombuffer(content, "<i8", _HEAD, len(MAGIC)).tolist()
-        self.task, self.chunk, self.n, self.total, width, low, *sizes = head
-        at = len(MAGIC) + 8 * _HEAD
-        bounds = np.cumsum([at, *sizes]).tolist()
-        if bounds[-1] + self.total * width + 1 != len(content):
+        self.task, self.chunk, self.n, self.nameless, self.least, self.total, width = head[:7]
+        (low, *sizes), (bounds_low, *bounds_sizes) = head[7:11], head[11:]
+        ends = np.cumsum([len(MAGIC) + 8 * _HEAD, *sizes, *bounds_sizes]).tolist()
+        if ends[-1] + self.total * width + 1 != len(content):
             raise ValueError("a token file is cut short")
-        part = [np.frombuffer(content, np.uint8, b - a, a) for a, b in zip(bounds, bounds[1:])]
-        doc_ids = np.frombuffer(content, "<i8", self.n, at)
-        nulls = np.unpackbits(part[0][8 * self.n :], count=self.n, bitorder="little").astype(bool)
-        self.docs = pa.array(doc_ids, pa.int64(), mask=nulls)
-        self.bounds = EliasFano(self.n, low, part[1], part[2], part[3].view("<u4"))
-        self.ids = np.frombuffer(content, f"<u{width}", self.total, bounds[-1])
+        part = [np.frombuffer(content, np.uint8, b - a, a) for a, b in zip(ends, ends[1:])]
+        self.known = EliasFano(self.n - self.nameless, low, part[0], part[1], part[2].view("<u4"))
+        self.bounds = EliasFano(self.n, bounds_low, part[3], part[4], part[5].view("<u4"))
+        self.ids = np.frombuffer(content, f"<u{width}", self.total, ends[-1])
+
+    def docs(self, first: int, count: int) -> pa.Array:
+        """The ids of documents in a row; null where they have none."""
+        count = min(count, self.n - first)
+        nulls = max(0, min(count, self.nameless - first))
+        named = self.known.selected(first + nulls - self.nameless, count - nulls) + np.uint64(self.least % (1 << 64))
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(named.view(np.int64))])
+
+    def starts(self, first: int, count: int) -> np.ndarray:
+        """Where documents in a row start, and where the last of them ends."""
+        found = self.bounds.selected(first, count + 1).astype(np.int64)
+        return found if first + count < self.n else np.append(found, self.total)
 
     def tokens(self, i: int) -> np.ndarray:
         """The ids of the i-th document of the file."""
@@ -140,7 +169,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "words",
                     lengths.append(len(ids))
                     parts.append(ids.astype(f"<u{width}").tobytes())
                     held += len(ids)
-                    if held >= file_ids:
+                    if held >= file_ids or len(names) >= FILE_DOCS:
                         yield closed()
                         names, lengths, parts, held, chunk = [], [], [], 0, chunk + 1
         if names:
@@ -162,13 +191,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 file = TokenFile(content.as_py())
-                offsets = np.append(file.bounds.all(), file.total)
                 for at in range(0, file.n, 1000):
-                    some = offsets[at : at + 1001]
+                    some = file.starts(at, 1000)
                     ids = [file.ids[a:b].astype("<u4").tobytes() for a, b in zip(some.tolist(), some[1:].tolist())]
                     n = len(ids)
                     place = [pa.array([x] * n, pa.int64()) for x in (file.task, file.chunk)]
-                    yield pa.RecordBatch.from_arrays([*place, file.docs[at : at + n], pa.array(some[:n]), pa.array(ids, pa.binary())], ["task", "chunk", "doc_id", "within", "ids"])
+                    yield pa.RecordBatch.from_arrays([*place, file.docs(at, n), pa.array(some[:n]), pa.array(ids, pa.binary())], ["task", "chunk", "doc_id", "within", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
     return map_arrow(files, each, "task long, chunk long, doc_id long, within long, ids binary")
