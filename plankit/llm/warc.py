@@ -1,20 +1,25 @@
 """WARC archives with identical payloads stored once.
 
-Headers (id, digest, size: no payload) are shuffled by payload digest and pre-aggregated to the
-original of each digest; records are joined to their original, and go to the archives either whole
-(response) or as headers that refer to it (revisit, profile identical-payload-digest). The archives
-are written by Spark's own text writer, so by its committer, to any file system: a row is a record's
-bytes, and the line separator is the blank line that ends a WARC record. They are gzip files of
-WARC/1.1 records, of about ``archive_bytes`` of records each, so that a reader may hold one whole.
+Headers (id, digest, size: no payload) are written, shuffled by payload digest and pre-aggregated to
+the original of each digest; records are joined to their original, and go to the archives either whole
+(response) or as headers that refer to it (revisit, profile identical-payload-digest). An archive is
+of WARC/1.1 records, each a gzip member of its own, so that a reader may start at any of them. A task
+writes as many archives as its records fill, each of about ``archive_bytes``, so that a reader may
+also hold one whole. Archives are rows of Spark's text writer, one to a file, and so are written by its
+committer, to any file system; the line separator that ends a file is a gzip member without content.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
+import io
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,15 +28,23 @@ from pyspark.sql import functions as F
 from plankit.llm.arrow import map_arrow
 from plankit.llm.scratch import written
 
-ARCHIVE_BYTES = 16 << 20
+#: Compressed bytes of an archive, about; and tasks that write archives, at most.
+ARCHIVE_BYTES, TASKS = 8 << 20, 8192
 MIN_PAYLOAD = 0
+_LEVEL = 4
 #: Fixed values of the format.
-_END = "\r\n\r\n"
+_END = b"\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:plankit:page:"
 
 
+def member(content: bytes) -> bytes:
+    """A gzip member of its own."""
+    made = zlib.compressobj(_LEVEL, zlib.DEFLATED, 31)
+    return made.compress(content) + made.flush()
+
+
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a binary column in upper-case base32: four characters for each five hexadecimal digits."""
     digits = F.sha1(payload)
@@ -62,58 +75,83 @@ def revisits(headers: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     return joined.where(F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_digest", "refers_to")
 
 
-def _line(name: str, value: Column) -> Column:
-    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
-
-
-def record_bytes(date: str) -> Column:
-    """The bytes of a record, without its end: fresh headers, the HTTP headers, and a response's payload."""
-    again = F.col("refers_to").isNotNull()
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(_END))
-    url = F.regexp_replace(F.encode(F.regexp_replace("url", "[\\r\\n]", "%0A"), "utf-8").cast("string"), "^$", "about:blank")
-    header = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        _line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", F.concat(F.lit(f"<{_URN}"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
-        _line("WARC-Date", F.lit(date)),
-        _line("WARC-Target-URI", url),
-        _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        _line("WARC-Refers-To", F.concat(F.lit(f"<{_URN}"), F.col("refers_to").cast("string"), F.lit(">"))),
-        _line("WARC-Profile", F.when(again, _PROFILE)),
-        _line("Content-Type", F.lit("application/http; msgtype=response")),
-        _line("Content-Length", (F.length(http) + F.when(again, 0).otherwise(F.col("payload_bytes"))).cast("string")),
-        F.lit("\r\n"),
-        http,
-    )
-    return F.concat(header.cast("binary"), F.when(again, F.lit("").cast("binary")).otherwise(F.col("payload")))
-
-
-def write_archives(found: DataFrame, path: str, total_bytes: int, archive_bytes: int = ARCHIVE_BYTES, date: str = "1970-01-01T00:00:00Z", min_payload: int = MIN_PAYLOAD) -> None:
-    """Write records (as of records()) to path, each payload once. total_bytes: of all payloads."""
-    files = max(1, math.ceil(total_bytes / archive_bytes))
-    headers = found.select("page_id", "payload_digest", "payload_bytes")
+def _urn(page_id: int | None, digest: str, nth: int = 0) -> str:
+    """The id of a record; nth tells apart records that agree in page id and payload."""
+    return f"<{_URN}{'' if page_id is None else page_id}:{digest}{f':{nth}' if nth else ''}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, nth: int = 0) -> bytes:
+    """The bytes of a record: fresh headers, the HTTP headers, and a response's payload. A revisit has refers_to."""
+    again = refers_to is not None
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}".encode() + _END
+    named = {
+        "WARC-Type": "revisit" if again else "response",
+        "WARC-Record-ID": _urn(page_id, digest, nth),
+        "WARC-Date": date,
+        "WARC-Target-URI": None if url is None else url.replace("\r", "%0A").replace("\n", "%0A") or "about:blank",
+        "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-Refers-To": _urn(refers_to, digest) if again else None,
+        "WARC-Profile": _PROFILE if again else None,
+        "Content-Type": "application/http; msgtype=response",
+        "Content-Length": str(len(http) + (0 if again else len(payload))),
+    }
+    lines = ["WARC/1.1", *[f"{k}: {v}" for k, v in named.items() if v is not None]]
+    return "\r\n".join(lines).encode() + _END + http + (b"" if again else payload) + _END
+
+
+def _archived(archive_bytes: int, date: str):
+    """Records in, archives out."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, Counter()
+
+        def closed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["blob"])
+
+        for batch in batches:
+            for row in zip(*batch.columns):
+                page_id, url, payload, digest, refers_to, repeated = (x.as_py() for x in row)
+                if repeated:
+                    seen[page_id, digest] += 1
+                held.append(member(record(page_id, url, payload, digest, refers_to, date, max(0, seen[page_id, digest] - 1) if repeated else 0)))
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield closed()
+                    held, size = [], 0
+        if held:
+            yield closed()
+
+    return each
+
+
+def write_archives(found: DataFrame, headers: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None, min_payload: int = MIN_PAYLOAD) -> None:
+    """Write records (as of records()) to path, each payload once. headers: (page_id, payload_digest, payload_bytes) of them, written before.
+
+    date: of the records, as WARC has it; now, if none is given.
+    """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
+    tasks = min(TASKS, max(1, math.ceil(total / archive_bytes)))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key")  # never null, so records are dealt out once
     again = revisits(headers, min_payload).select("payload_digest", key, "refers_to")
-    dealt = found.withColumn("_key", key).repartition(files, "payload_digest", "_key")
-    out = dealt.join(again, ["payload_digest", "_key"], "left").select(record_bytes(date).cast("string").alias("value"))
-    out.write.option("lineSep", _END).option("compression", "gzip").text(path)
+    repeated = headers.groupBy("payload_digest", key).count().where("count > 1").select("payload_digest", "_key", F.lit(True).alias("repeated"))
+    known = again.join(repeated, ["payload_digest", "_key"], "full")
+    dealt = found.withColumn("_key", key).repartition(tasks, "payload_digest", "_key").join(known, ["payload_digest", "_key"], "left")
+    rows = dealt.select("page_id", "url", "payload", "payload_digest", "refers_to", F.coalesce("repeated", F.lit(False)).alias("repeated"))
+    blobs = map_arrow(rows, _archived(archive_bytes, date), "blob binary").select(F.col("blob").cast("string").alias("value"))
+    blobs.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("latin-1")).text(path)
 
 
 def inflated(content: bytes) -> bytes:
     """A plain archive as it is; the members of a gzip file, one after another."""
-    parts = []
-    while content[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(parts) if parts else content
+    return gzip.GzipFile(fileobj=io.BytesIO(content)).read() if content[:2] == b"\x1f\x8b" else content
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], int, int]]:
     """The headers of each record of an archive, by lower-case name, and where its block starts and ends."""
     at = 0
     while at < len(archive):
-        stop = archive.index(b"\r\n\r\n", at)
+        stop = archive.index(_END, at)
         lines = archive[at:stop].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
@@ -135,7 +173,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest"] + ["payload"] * with_payload
 
     def urn(value: str | None) -> int | None:
-        number = (value or "").strip("<>").removeprefix(_URN)
+        number = (value or "").strip("<>").removeprefix(_URN).partition(":")[0]
         return int(number) if number else None
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +181,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
             for content in batch.column(0):
                 archive, rows = inflated(content.as_py()), []
                 for headers, start, end in parse(archive):
-                    body = archive.index(b"\r\n\r\n", start, end) + 4
+                    body = archive.index(_END, start, end) + 4
                     kind, digest = headers["warc-type"], headers["warc-payload-digest"].removeprefix("sha1:")
                     payload = archive[body:end] if kind == "response" else None
                     if payload is None:
@@ -158,19 +196,19 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
-    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), each, schema)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+    return map_arrow(files, each, schema)
 
 
 def archive(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write a record for each row of pages to path, each payload once, and read the archives back.
 
     Null and empty payloads are empty ones, and equal; a null url has no target header, an empty one
-    is about:blank; rows without page_id have the bare URN and never are originals of others; an empty
-    table makes an archive without records; other columns of pages are not looked at.
+    is about:blank; rows without page_id have a record id without one and never are originals of others;
+    rows that repeat page_id and payload have record ids that a number tells apart; an empty table makes
+    no archive and gives no rows; other columns of pages are not looked at.
     """
-    spark = pages.sparkSession
     found = records(pages, id_col, url_col, payload_col)
-    headers, _ = written(found.drop("payload", "url"), "headers")
-    total = headers.agg(F.sum("payload_bytes")).first()[0] or 0
-    write_archives(found, path, total, archive_bytes)
-    return read_archives(spark, path)
+    headers, _ = written(found.select("page_id", "payload_digest", "payload_bytes"), "headers")
+    write_archives(found, headers, path, archive_bytes)
+    return read_archives(pages.sparkSession, path)

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import zlib
 from pathlib import Path
 
 from plankit.llm import warc
@@ -43,15 +44,28 @@ def test_repeated_rows_and_many_small_archives(spark):
     rows = [(i // 2, f"http://h/{i}", f"text {i % 5}") for i in range(60)] + [(99, "u", "text 0")] * 2
     found, path = archived(spark, rows, archive_bytes=50)
     assert found == expected(rows)
-    texts = [gzip.open(f, "rb").read() for f in Path(path.removeprefix("file:")).glob("part-*.gz")]
+    files = [f.read_bytes() for f in Path(path.removeprefix("file:")).glob("part-*")]
+    texts = [gzip.decompress(f) for f in files]
     assert len([t for t in texts if t]) > 3
+    ids = [h["warc-record-id"] for t in texts for h, _, _ in warc.parse(t)]
+    assert len(ids) == len(set(ids)) == len(rows)
+    named = {h["warc-refers-to"] for t in texts for h, _, _ in warc.parse(t) if h["warc-type"] == "revisit"}
+    assert named <= set(ids)
+    # a reader may start at any record: each is a gzip member of its own
+    for file in files:
+        starts = []
+        while file:
+            member = zlib.decompressobj(31)
+            starts.append(member.decompress(file)[:8])
+            file = member.unused_data
+        assert set(starts[:-1]) == {b"WARC/1.1"} and starts[-1] == b""
     assert sum(t.count(b"WARC-Type: response") for t in texts) == sum(r[2] == "response" for r in found)
 
 
 def test_smaller_payloads_than_the_least_are_all_responses(spark):
     path = new_path(spark, "warc")
     found = warc.records(spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "long text"), (4, "u", "long text")], "page_id long, url string, html string"))
-    warc.write_archives(found, path, 100, min_payload=5)
+    warc.write_archives(found, found.select("page_id", "payload_digest", "payload_bytes"), path, 100, min_payload=5)
     kinds = {r.page_id: (r.record_type, r.payload) for r in warc.read_archives(spark, path, with_payload=True).collect()}
     assert kinds == {1: ("response", b"ab"), 2: ("response", b"ab"), 3: ("revisit", None), 4: ("response", b"long text")}
 
