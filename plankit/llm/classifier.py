@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
@@ -24,8 +24,8 @@ from plankit.llm.tokens import slices
 
 #: The hash table has 2**18 rows.
 BITS = 18
-#: Labelled documents of each class that training may take; the bound of what comes to the driver.
-SAMPLE = 1200
+#: Labelled documents of each class that training may take, and their bytes; the bound of what comes to the driver.
+SAMPLE, SAMPLE_BYTES = 1200, 32 << 20
 THRESHOLD = 0.7
 #: All pairs of a word and itself are one feature: that a word repeats matters more than which.
 _SAME = np.int64((1 << BITS) - 1)
@@ -138,8 +138,10 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Train on up to ``sample`` documents of each class, those first in the order of a hash of the id.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Train on up to ``sample`` documents of each class, those first in the order of a hash of the id; whole ones.
+
+    Of these, those are taken that together have at most ``sample_bytes`` bytes of text, counted in that order.
 
     Labels of held-out ids, nulls and values other than 0 and 1 are never used; of different labels
     for an id the larger counts; an id that docs repeats is taken once. Classes weigh as they do among
@@ -153,7 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     taken = [r for c in (0, 1) for r in known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()]
     chosen = F.broadcast(spark.createDataFrame(taken, "_id long, _label int"))  # at most 2 * sample rows
     slim = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    rows = slim.join(chosen, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
+    rows = slim.join(chosen, "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    so_far = F.sum(F.octet_length("_text")).over(Window.partitionBy("_label").orderBy(F.xxhash64("_id"), "_id"))
+    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= sample_bytes).orderBy(F.xxhash64("_id"), "_id").collect()
     of = {c: sum(r._label == c for r in rows) for c in (0, 1)}
     total, used = sum(counts.values()), max(1, len(rows))
     weights = [(counts[r._label] / total) / (of[r._label] / used) for r in rows]
@@ -192,7 +196,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, whose score reaches the threshold. They are judged where they lie: no shuffle."""
+    """The rows of docs, all columns, whose score reaches the threshold. They are judged where they lie: no shuffle.
+
+    Null and empty texts have the score of the bias alone; rows without id, and repeated ones, are
+    judged like others, each by its text; an empty table gives none. Ties are kept.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -47,6 +47,28 @@ def test_run_packs_what_the_stages_keep(spark, folder):
     assert {r.doc_id for r in found.collect()} == {i for i in range(600) if i % 6 < 3}
 
 
+@pytest.mark.parametrize("labelled", [True, False])
+def test_odd_documents(spark, folder, tmp_path, labelled):
+    """Nulls in any column, empty texts, repeated rows and ids, and columns whose names the operators use."""
+    clean = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("source = 'clean'").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, clean[0], None), (None, clean[1], "x"), (3, None, "x"), (4, "", None), (5, clean[2], "x"), (5, clean[2], "x"), (5, clean[3], "x"), (6, clean[0], "x"), (None, None, None)]
+    docs = spark.createDataFrame([(*r, 1.5, 7, "k") for r in rows], "doc_id long, text string, lang string, score double, part int, key string")
+    if labelled:
+        spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    else:
+        spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now, _ = corpus_pipeline.written(stage(spark, now, str(tmp_path)), name)
+        assert now.columns == docs.columns
+    if not labelled:  # the labels are of other texts
+        assert sorted(((r.doc_id, r.text) for r in now.collect()), key=repr) == sorted([(1, clean[0]), (None, clean[1]), (5, clean[2]), (5, clean[3])], key=repr)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in packed if not r.piece), key=repr) == sorted((r[0] for r in rows), key=repr)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+
+
 def test_names():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
     assert set(queries.ORACLES) <= set(queries.QUERIES)

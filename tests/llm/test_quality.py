@@ -100,6 +100,17 @@ def test_classifier_never_learns_from_held_out_labels(spark, labelled):
     assert a.bias == b.bias and np.array_equal(a.moves, b.moves)
 
 
+def test_classifier_sample_is_bounded(spark, labelled, monkeypatch):
+    docs, labels = labelled
+    seen = []
+    monkeypatch.setattr(classifier, "train", lambda texts, *_: seen.append(texts))
+    classifier.fit(docs, labels, sample=10)
+    classifier.fit(docs, labels, sample_bytes=3000)
+    classifier.fit(docs, labels, sample_bytes=1)
+    assert len(seen[0]) == 20 and 0 < len(seen[1]) and sum(map(len, seen[1])) <= 6000 and seen[2] == []
+    assert set(seen[1]) <= {r.text for r in docs.collect()}
+
+
 def test_classifier_edges(spark, labelled):
     docs, labels = labelled
     model = classifier.fit(docs, labels)
