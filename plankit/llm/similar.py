@@ -27,7 +27,7 @@ from plankit.llm.scratch import written
 from plankit.llm.simhash import covering_masks, fingerprint, shingle_hashes, signed
 from plankit.llm.tokens import slices
 
-#: Independent fingerprints of a text, and the bits in which those of a candidate may differ.
+#: Independent fingerprints of a text, 4 at most, and the bits in which those of a candidate may differ.
 PRINTS, RADIUS = 3, 5
 #: Rounds of hubs, at most; pairs for each member of a bucket that count as few; and the share of the pairs left
 #: that a round has to leave for another to follow.
@@ -76,7 +76,7 @@ def _checked(least: float):
     """Pairs with their shingles in, those that are similar out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (some for b in batches for some in slices(b, 2)):
             a, b = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
             hit = [min(len(x), len(y)) >= least * max(len(x), len(y)) and similarity(x, y) >= least for x, y in zip(a, b)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
@@ -102,9 +102,11 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     nodes, _ = written(marks.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     masks = F.array(*[F.struct(F.lit(p).alias("of"), F.lit(signed(m)).alias("mask")) for p in range(PRINTS) for m in covering_masks(RADIUS)])
     spread = nodes.select("node", "prints", F.posexplode(masks).alias("nth", "t"))
-    posted = spread.select(F.xxhash64("nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask"))).alias("at"), "node", F.col("t.of").cast("byte").alias("of"))
+    # a bucket's number ends in that of its fingerprint, so that the rows that are dealt out are narrow
+    bucket = F.xxhash64("nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask")))
+    posted = spread.select(F.shiftleft(bucket, 2).bitwiseOR(F.col("t.of").cast("long")).alias("at"), "node")
     shared = posted.groupBy("at").count().where("count > 1").select("at")
-    members = posted.join(shared, "at").join(nodes.select("node", "prints"), "node").select("at", "node", F.get("prints", F.col("of").cast("int")).alias("fp"))
+    members = posted.join(shared, "at").join(nodes.select("node", "prints"), "node").select("at", "node", F.get("prints", F.col("at").bitwiseAND(F.lit(3)).cast("int")).alias("fp"))
     members, _ = written(members, "members")
     used = members.select("node").distinct().join(nodes.select("key", "node"), "node")
     held = texts.join(used, "key").dropDuplicates(["key"]).select("node", "text")

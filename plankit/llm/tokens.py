@@ -44,7 +44,7 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
     #: Units, at most, that are remembered.
-    remembered = 1_000_000
+    remembered = 300_000
     known: dict[str, bytes]
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -137,7 +137,6 @@ class WordEncoder(_Library):
     tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
-    remembered = 800_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
     #: What a token that ends a part ends in. A fixed value of the format.
