@@ -6,10 +6,12 @@ So the candidates are pairs within RADIUS bits in one of PRINTS independent SimH
 distinct words; each fingerprint has the covering masks of that radius (simhash.covering_masks), under
 one of which every such pair collides. A pair links only if its sets of shingles are that similar.
 
-Buckets are never searched pair by pair as long as that can be avoided. In each round every bucket
-names a hub, the members that are not yet linked to it are checked against it, and components are made
-of what links. When the pairs left, of members of one bucket in different components, are few or the
-rounds are over, all of them are checked; so every link between candidates counts, at any size of bucket.
+Pairs are never emitted by a group. In each of a few rounds every bucket names a hub, the members that
+are not linked to it yet are checked against it, and components are made of what links. Buckets that
+then still hold members of different components are open: the nodes that open buckets connect make
+clusters, which are dealt into blocks of bounded size, and each two blocks of a cluster meet in a task
+that checks all candidates between different components there by an inverted file of the shingles, and
+returns what links. So every link between candidates counts, whatever the size of a bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plankit.llm.arrow import map_arrow
+from plankit.llm.arrow import map_arrow, ship
 from plankit.llm.components import components
 from plankit.llm.scratch import written
 from plankit.llm.simhash import covering_masks, fingerprint, shingle_hashes, signed
@@ -29,9 +31,8 @@ from plankit.llm.tokens import slices
 
 #: Independent fingerprints of a text, 4 at most, and the bits in which those of a candidate may differ.
 PRINTS, RADIUS = 3, 5
-#: Rounds of hubs, at most; pairs for each member of a bucket that count as few; and the share of the pairs left
-#: that a round has to leave for another to follow.
-ROUNDS, FEW, GAIN = 6, 4, 0.5
+#: Rounds of hubs, and nodes of a cluster's block, about.
+ROUNDS, BLOCK = 2, 512
 
 _ADD = [np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64)) for i in range(PRINTS)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,6 +85,60 @@ def _checked(least: float):
     return each
 
 
+def _common(sets: list[np.ndarray], asked: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each asked set, how many values it has in common with each of the sets, by an inverted file."""
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    values, of = values[order], np.repeat(np.arange(len(sets)), list(map(len, sets)))[order]
+    for some in asked:
+        starts, ends = np.searchsorted(values, some), np.searchsorted(values, some, "right")
+        sizes = ends - starts
+        at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        yield np.bincount(of[at], minlength=len(sets))
+
+
+def cell_links(nodes: np.ndarray, roots: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (u, v) between candidates of the left and the right places, enough of them for the same components."""
+    parent = {}
+
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    found = []
+    sizes = np.asarray(list(map(len, sets)))
+    near = np.zeros((len(left), len(right)), bool)
+    for p in range(marks.shape[1]):
+        near |= np.bitwise_count(marks[left, p][:, None] ^ marks[right, p][None, :]) <= RADIUS
+    near &= roots[left][:, None] != roots[right][None, :]
+    asked = np.flatnonzero(near.any(axis=1))
+    for i, common in zip(asked, _common([sets[j] for j in right], [sets[i] for i in left[asked]])):
+        u = left[i]
+        whole = sizes[u] + sizes[right] - common
+        for j in right[near[i] & ((common >= least * whole) | (whole == 0))]:
+            a, b = root(roots[u]), root(roots[j])
+            if a != b:
+                parent[a] = b
+                found.append((nodes[u], nodes[j]))
+    return found
+
+
+def _cell(least: float):
+    def each(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table["side"].to_numpy()
+        marks = np.asarray(table["prints"].to_pylist(), np.int64).view(np.uint64)
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        left = np.flatnonzero(side != 1)  # -1: a block with itself
+        right = np.flatnonzero(side != 0)
+        found = cell_links(table["node"].to_numpy(), table["root"].to_numpy(), marks, sets, left, right, least)
+        u, v = zip(*found) if found else ((), ())
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return each
+
+
 def _text(text_col: str) -> Column:
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -118,31 +173,37 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
         return map_arrow(pairs.select("u", "v", "a", "b"), _checked(least), "u long, v long")
 
     empty = docs.sparkSession.createDataFrame([], "u long, v long")
-    tried, linked, stars = empty, empty, empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    count, before = members.count(), None
-    for turn in range(ROUNDS + 1):
+    linked, stars = empty, empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+    def opened() -> tuple[DataFrame, DataFrame]:
+        """Members with the roots of their components, and the buckets that hold different ones."""
         rooted = members.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        each = rooted.groupBy("at", "root").agg(F.count("*").cast("double").alias("n"))
-        open_ = each.groupBy("at").agg((F.sum("n") ** 2 - F.sum(F.col("n") ** 2)).alias("left")).where("left > 0")
-        left = (open_.agg(F.sum("left")).first()[0] or 0) / 2
-        if not left:
-            break
-        last = turn == ROUNDS or (turn and left <= FEW * count) or (before is not None and left > GAIN * before)
-        a, b = rooted.join(open_.select("at"), "at").alias("a"), rooted.alias("b")
+        return rooted, rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("at")
+
+    for turn in range(ROUNDS):
+        rooted, open_ = opened()
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "fp", "root"))
+        hubs = rooted.groupBy("at").agg(hub.alias("hub")).select("at", "hub.node", "hub.fp", "hub.root")
+        a, b = rooted.join(open_, "at").alias("a"), hubs.alias("b")
         apart = (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
-        if last:
-            apart = apart & (F.col("a.node") < F.col("b.node"))
-        else:
-            hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "fp", "root"))
-            b = rooted.groupBy("at").agg(hub.alias("hub")).select("at", "hub.node", "hub.fp", "hub.root").alias("b")
-        pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
-        fresh, _ = written(pairs.join(tried, ["u", "v"], "left_anti"), "candidates")
-        found, _ = written(checked(fresh), "links")
-        linked = linked.unionByName(found)
+        pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
+        linked = linked.unionByName(written(checked(pairs.distinct()), "links")[0])
         stars = components(linked).select(F.col("u").alias("node"), F.col("v").alias("root"))
-        if last:
-            break
-        tried, before = tried.unionByName(fresh), left
+    rooted, open_ = opened()
+    some, _ = written(rooted.join(open_, "at").select("at", "node", "root"), "open")
+    firsts = some.groupBy("at").agg(F.min("node").alias("v"))
+    clusters = components(some.join(firsts, "at").select(F.col("node").alias("u"), "v"))
+    placed = some.select("node", "root").distinct().join(clusters.select(F.col("u").alias("node"), F.col("v").alias("cluster")), "node", "left")
+    placed = placed.withColumn("cluster", F.coalesce("cluster", "node"))
+    blocks = placed.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(blocks, "cluster").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    cells = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "root")
+    cells = cells.join(nodes.select("node", "prints"), "node").join(held, "node")
+    ship(docs.sparkSession)
+    rest = cells.groupBy("cluster", "i", "j").applyInArrow(_cell(least), "u long, v long")
+    stars = components(linked.unionByName(written(rest, "links")[0])).select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.select("key", "node"), stars
 
 

@@ -54,11 +54,11 @@ def test_rows_that_share_a_doc_id_are_told_apart(spark):
     assert sorted(map(tuple, similar.keep_first(docs).collect())) == [rows[0], rows[2]]
 
 
-@pytest.mark.parametrize("rounds, few", [(0, 4), (3, 0)])
-def test_groups_without_a_middle_are_whole(spark, monkeypatch, rounds, few):
-    """Chains, of which neighbours alone are similar, by all candidates left at once and by hubs alone at first."""
+@pytest.mark.parametrize("rounds, block", [(0, 1024), (0, 3), (1, 4)])
+def test_groups_without_a_middle_are_whole(spark, monkeypatch, rounds, block):
+    """Chains, of which neighbours alone are similar, without hubs and with few, in one block and in many."""
     monkeypatch.setattr(similar, "ROUNDS", rounds)
-    monkeypatch.setattr(similar, "FEW", few)
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(4)
     texts = []
     for chain in range(4):
