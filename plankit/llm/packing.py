@@ -25,6 +25,8 @@ from plankit.llm.tokens import encoder, slices
 
 CAPACITY = 1024
 END_ID = 2
+#: Bytes of text that are encoded at a time: the more, the fewer times a unit is looked up.
+_SLICE_BYTES = 12 << 20
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -33,7 +35,7 @@ def cut(length: int, capacity: int) -> list[int]:
     return ([rest] if rest else []) + [capacity] * full
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids binary, part, nth): each document's ids and end id, cut into pieces.
 
     part is the number of the task that made the row, nth the row's rank there among pieces of its
@@ -42,10 +44,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, "byte_level").many, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, "byte_level", remembered).many, TaskContext.get().partitionId()
         end, seen = np.asarray([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for some in slices(batch, 1):
+            for some in slices(batch, 1, _SLICE_BYTES if remembered is None else _SLICE_BYTES // 2):
                 rows = []
                 for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     ids, start = ids + end, 0
@@ -214,13 +216,14 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return map_arrow(ranked, each, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Where each piece of each document lies, and the written table of pieces with their ids.
 
     The first has doc_id, piece, start, length, ids_crc32, sequence_id and offset. A null or empty text
     is a piece of the end id alone. Rows without doc_id are packed too; repeated rows are packed each; an
-    empty table gives no rows; other columns of docs are not looked at.
+    empty table gives no rows; other columns of docs are not looked at. remembered: units that a worker
+    remembers at most, for less memory at more time.
     """
-    made, _ = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    made, _ = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, remembered), "pieces")
     slim = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
     return place(slim, capacity), made

@@ -44,7 +44,7 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
     #: Units, at most, that are remembered.
-    remembered = 300_000
+    remembered = 1_000_000
     known: dict[str, bytes]
 
     def split(self, texts: pa.Array) -> pa.ListArray:
@@ -137,6 +137,7 @@ class WordEncoder(_Library):
     tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
+    remembered = 800_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
     #: What a token that ends a part ends in. A fixed value of the format.
@@ -211,6 +212,8 @@ KINDS: dict[str, type[_Library]] = {"byte_level": ByteLevelEncoder, "words": Wor
 
 
 @cache
-def encoder(path: str, kind: str) -> _Library:
-    """One encoder for each worker process, kept from task to task."""
-    return KINDS[kind](path)
+def encoder(path: str, kind: str, remembered: int | None = None) -> _Library:
+    """One encoder for each worker process, kept from task to task. remembered: units at most, if not as many as is usual."""
+    made = KINDS[kind](path)
+    made.remembered = remembered or made.remembered
+    return made
