@@ -18,6 +18,10 @@ from plankit.llm import classifier, packing, quality_rules, similar
 from plankit.llm.scratch import written
 
 
+#: Units that the last stage remembers in a worker, which has run the other stages before.
+REMEMBERED = 300_000
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -44,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in sequences of 1024 tokens; an empty text is a piece of the end id alone."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))[0]
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=REMEMBERED)[0]
 
 
 STAGES = [
