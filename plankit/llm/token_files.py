@@ -153,6 +153,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "words",
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, chunk = encoder(tokenizer, kind).many, TaskContext.get().partitionId(), 0
+        fits = max(end_id, encoder(tokenizer, kind).largest()) < 1 << (8 * width)
         end = np.asarray([end_id], "<u4").tobytes()
         names, lengths, parts, held = [], [], [], 0
 
@@ -163,7 +164,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, kind: str = "words",
             for some in slices(batch, 1):
                 for doc, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
                     ids = np.frombuffer(ids + end, "<u4")
-                    if int(ids.max()) >> (8 * width):
+                    if not fits and int(ids.max()) >> (8 * width):
                         raise ValueError(f"id {ids.max()} needs more than {width} bytes")
                     names.append(doc)
                     lengths.append(len(ids))

@@ -115,9 +115,10 @@ class _Library(Encoder):
 
     def many(self, texts: pa.Array) -> list[bytes]:
         texts = pc.fill_null(texts, "")
-        whole = np.zeros(len(texts), bool)
-        for content in self.added:
-            whole |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False)
+        # one look for what all of them begin with, then for each
+        whole = pc.match_substring(texts, os.path.commonprefix(self.added)).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if whole.any():
+            whole = np.any([pc.match_substring(texts, content).to_numpy(zero_copy_only=False) for content in self.added], axis=0)
         if not whole.any():
             return super().many(texts)
         made = super().many(pc.if_else(pa.array(whole), "", texts))
@@ -125,6 +126,10 @@ class _Library(Encoder):
             made[i] = self.ids(texts[i].as_py()).tobytes()
         return made
 
+    def largest(self) -> int:
+        """The largest id there is."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -137,7 +142,6 @@ class WordEncoder(_Library):
     tells the words apart. Between other words stands a mark that is one token, and that none holds.
     """
 
-    remembered = 800_000
     #: Characters to mark the end of a word with; the first that is one token is taken.
     MARKS = "♥♦☀★✨☕♫"
     #: What a token that ends a part ends in. A fixed value of the format.
