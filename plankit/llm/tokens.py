@@ -59,7 +59,7 @@ class Encoder:
         """The ids of each text; null is empty."""
         lists = self.split(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        units = coded.dictionary.to_pylist()
+        units = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() takes several times as long
         found = list(map(self.known.get, units))
         fresh = [u for u, x in zip(units, found) if x is None]
         if fresh:
