@@ -203,8 +203,11 @@ class ByteLevelEncoder(_Library):
         return spaced_units(texts)
 
     def apart(self, units: list[str]) -> list[bytes]:
-        made = {u: self.ids(unit_text(u)).tobytes() for u in units if u[:1] == "\n"}
-        rest = [u for u in units if u[:1] != "\n"]
+        first, rest = [u for u in units if u[:1] == "\n"], [u for u in units if u[:1] != "\n"]
+        made = {}
+        for at in range(0, len(first), 1000):
+            some = first[at : at + 1000]
+            made |= {u: np.asarray(x.ids, "<u4").tobytes() for u, x in zip(some, self.tokenizer.encode_batch_fast([unit_text(u) for u in some], add_special_tokens=False))}
         for at in range(0, len(rest), 1000):
             some = rest[at : at + 1000]
             ids = self.ids(" " + " ".join(some))
