@@ -10,6 +10,7 @@ broadcast, so the score of a document of any length is a sum of look-ups.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,7 +113,7 @@ def train(texts: list[str], labels: list[int], weights: list[float], dim: int =
     table = ((rng.random((1 << BITS, dim), np.float32) - 0.5) * (2.0 / dim)).astype(np.float32)
     out = np.zeros((2, dim), np.float32)
     bias = np.zeros(2, np.float32)
-    made = [features(t) for t in texts]
+    made = [(ids.astype(np.int32), share) for ids, share in map(features, texts)]
     steps, done = epochs * total, 0
     for _ in range(epochs):
         for i in rng.permutation(total):
@@ -138,6 +139,13 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _give_back() -> None:
+    """Return memory that is free, but that the C library holds, to the system: the driver lives on after a fit."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on up to ``sample`` documents of each class, those first in the order of a hash of the id; whole ones.
 
@@ -161,7 +169,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     of = {c: sum(r._label == c for r in rows) for c in (0, 1)}
     total, used = sum(counts.values()), max(1, len(rows))
     weights = [(counts[r._label] / total) / (of[r._label] / used) for r in rows]
-    return train([r._text for r in rows], [r._label for r in rows], weights)
+    texts, wanted = [r._text for r in rows], [r._label for r in rows]
+    del rows, taken
+    model = train(texts, wanted, weights)
+    del texts
+    _give_back()
+    return model
 
 
 def scores(texts: pa.Array, model: Model) -> np.ndarray:

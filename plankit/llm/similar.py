@@ -172,8 +172,12 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
             pairs = pairs.join(held.select(F.col("node").alias(c), F.col("shingles").alias(name)), c)
         return map_arrow(pairs.select("u", "v", "a", "b"), _checked(least), "u long, v long")
 
-    empty = docs.sparkSession.createDataFrame([], "u long, v long")
-    linked, stars = empty, empty.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    stars = docs.sparkSession.createDataFrame([], "node long, root long")
+
+    def joined(found: DataFrame) -> DataFrame:
+        """The stars of all links so far: what is found, and the stars before, which stand for the links before."""
+        linked = written(found, "links")[0].unionByName(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        return components(linked).select(F.col("u").alias("node"), F.col("v").alias("root"))
 
     def opened() -> tuple[DataFrame, DataFrame]:
         """Members with the roots of their components, and the buckets that hold different ones."""
@@ -187,8 +191,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
         a, b = rooted.join(open_, "at").alias("a"), hubs.alias("b")
         apart = (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
         pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
-        linked = linked.unionByName(written(checked(pairs.distinct()), "links")[0])
-        stars = components(linked).select(F.col("u").alias("node"), F.col("v").alias("root"))
+        stars = joined(checked(pairs.distinct()))
     rooted, open_ = opened()
     some, _ = written(rooted.join(open_, "at").select("at", "node", "root"), "open")
     firsts = some.groupBy("at").agg(F.min("node").alias("v"))
@@ -203,8 +206,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     cells = cells.join(nodes.select("node", "prints"), "node").join(held, "node")
     ship(docs.sparkSession)
     rest = cells.groupBy("cluster", "i", "j").applyInArrow(_cell(least), "u long, v long")
-    stars = components(linked.unionByName(written(rest, "links")[0])).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.select("key", "node"), stars
+    return nodes.select("key", "node"), joined(rest)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:

@@ -95,3 +95,16 @@ def test_long_chain_becomes_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(3, 3), (900, 901), (901, 900)], "u long, v long")
     found = {r.u: r.v for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 301)}, 901: 900}
+
+
+def test_no_round_is_run_on_what_is_settled(spark, monkeypatch):
+    from plankit.llm import components as module
+
+    rounds, real = [], module._large_star
+    monkeypatch.setattr(module, "_large_star", lambda edges: rounds.append(1) or real(edges))
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 40)] + [(0, 7), (90, 90)], "u long, v long")
+    assert {r.u: r.v for r in components(stars).collect()} == {i: 0 for i in range(1, 40)}
+    assert not rounds
+    triangle = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "u long, v long")
+    assert {r.u: r.v for r in components(triangle).collect()} == {2: 1, 3: 1}
+    assert len(rounds) == 1
