@@ -26,6 +26,8 @@ PIVOTS = 128
 #: The share of a block's vectors, first by footrule distance, that are reranked; and how many at least for each answer.
 SHARE, LEAST = 0.25, 4
 BLOCK, QUERY_BLOCK = 8192, 4096
+#: Vectors of a block that footrule distances are added up for at a time, within a core's cache; an even number.
+WIDTH = 2048
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -79,11 +81,23 @@ def _places(column: pa.ChunkedArray, count: int) -> np.ndarray:
 
 
 def footrule(files: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The footrule distance of each vector of a block to a query: files[p] holds pivot p's place in each one's order."""
-    total = np.zeros(files.shape[1], np.uint16)
-    for file, place in zip(files, places):
-        total += np.maximum(file, place) - np.minimum(file, place)
-    return total
+    """The footrule distance of each vector of a block to a query: files[p] holds pivot p's place in each one's order.
+
+    |a - b| is 2 max(a, b) - a - b, and the places in any order of the pivots have the same sum, so the
+    largest ones are summed alone, of two vectors at a time, as the low and the high bytes of 16-bit words.
+    """
+    pivots, count = files.shape
+    width = min(WIDTH, count + count % 2)
+    most = np.zeros((pivots, width), np.uint8)
+    two, part = most.view("<u2"), np.empty((pivots, width // 2), np.uint16)
+    sums, total = np.empty((2, width // 2), np.uint16), np.empty(count, np.uint16)
+    for at in range(0, count, WIDTH):
+        here = min(WIDTH, count - at)
+        np.maximum(files[:, at : at + here], places[:, None], out=most[:, :here])
+        np.add.reduce(np.bitwise_and(two, np.uint16(255), out=part), axis=0, dtype=np.uint16, out=sums[0])
+        np.add.reduce(np.right_shift(two, np.uint16(8), out=part), axis=0, dtype=np.uint16, out=sums[1])
+        total[at : at + here] = sums.T.ravel()[:here]
+    return total * np.uint16(2) - np.uint16(pivots * (pivots - 1))
 
 
 def _search_block(index: pa.Table, queries: pa.Table, share: float, answers: int) -> pa.Table:
