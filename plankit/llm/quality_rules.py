@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import map_arrow
+from plankit.llm.scratch import written
 from plankit.llm.texts import Words, bucket, pair_hashes
 from plankit.llm.tokens import slices
 
@@ -27,8 +28,8 @@ BITS = 14
 #: in the target. About midway between the labelled good documents (from -0.03 up) and bad ones (up to -0.56) of the
 #: tables at hand; neither class comes near it.
 THRESHOLD = -0.35
-#: Hashes of trusted ids that may be broadcast, at most.
-FILTER = 1 << 20
+#: Bits for each trusted id in the table that is broadcast, its bits at most (16 MB), and the places of an id there.
+ID_BITS, MOST_BITS, PLACES = 16, 1 << 27, 4
 SYMBOLS = b"#*$%&|<>"
 _TOKENS = re.compile(rb"[!-/:-@\[-`{-~]+|[^!-/:-@\[-`{-~]+").findall
 _NOT_COUNTED = bytes(range(0x80, 0xC0)) + b" \t\n\r\x0b\x0c"  # the later bytes of a code point; white space
@@ -64,16 +65,53 @@ def base_counts(text: bytes, words: Words) -> tuple[int, int, int, int, int]:
     )
 
 
-def _counted(column: str):
-    """Texts in, the n-grams of a task by bucket out, under the name of the multinomial."""
+def _table(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes of the ids (_id long, distinct), as 64-bit words: at most MOST_BITS come to the driver."""
+    size = min(MOST_BITS, 1 << max(6, (ID_BITS * ids.count() - 1).bit_length()))
+    hashed = F.xxhash64("_id")
+    low, high = hashed.bitwiseAND(F.lit((1 << 32) - 1)), F.shiftrightunsigned(hashed, 32)
+    at = ids.select(F.explode(F.array(*[(low + high * i).bitwiseAND(F.lit(size - 1)) for i in range(PLACES)])).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return table.view(np.uint64)
+
+
+def _let_through(table: np.ndarray, hashes: pa.Array) -> np.ndarray:
+    """Which hashes of ids the table lets through: all that it was made of, and few others; no nulls."""
+    known = hashes.is_valid().to_numpy(zero_copy_only=False)
+    hashed = hashes.fill_null(0).to_numpy().view(np.uint64)
+    low, high = hashed & np.uint64((1 << 32) - 1), hashed >> np.uint64(32)
+    for i in range(PLACES):
+        at = (low + high * np.uint64(i)) & np.uint64(64 * len(table) - 1)
+        known &= (table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return known
+
+
+def _passed(*tables):
+    """Rows in, hash of the id first; those that all tables let through out, without the hash."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = np.logical_and.reduce([_let_through(t.value, batch.column(0)) for t in tables])
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:]).filter(pa.array(some))
+
+    return each
+
+
+def _counted(table):
+    """Hashes of ids and texts in, the n-grams of a task by bucket out: of all texts, and of those the table lets through."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS, np.int64)
-        for batch in (some for b in batches for some in slices(b, 0)):
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
-                total += np.bincount(grams(Words(text or b"")), minlength=1 << BITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", column])
+        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        for batch in (some for b in batches for some in slices(b, 1)):
+            for text, likely in zip(batch.column(1).cast(pa.binary()).to_pylist(), _let_through(table.value, batch.column(0))):
+                found = np.bincount(grams(Words(text or b"")), minlength=1 << BITS)
+                raw += found
+                if likely:
+                    target += found
+        some = np.flatnonzero(raw)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
     return count
 
@@ -81,18 +119,27 @@ def _counted(column: str):
 def multinomials(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket long, raw long, target long): n-grams by bucket, of all documents and of the trusted ones.
 
-    Each task counts into an array of 2**BITS and sends those of its sums that are not zero. All
-    documents are counted where they lie. The trusted ids grow with the corpus, so they are not
-    broadcast; documents meet them in a join, before which those go whose hash of the id is that of no
-    trusted one, by a table of FILTER hashes at most.
+    Each task counts into arrays of 2**BITS and sends those of its sums that are not zero. Documents are
+    counted where they lie, as trusted if a table of bounded size lets their id through. The trusted ids
+    grow with the corpus, so they are not broadcast: ids alone meet them in a join, which finds the ids
+    that the table lets through though nobody trusts them. The texts of those are counted once more, and
+    taken off the target; they alone are shuffled, with what few others a second table lets through.
     """
-    hashed = F.pmod(F.xxhash64(F.col("_id")), F.lit(FILTER)).alias("_hash")
-    good = trusted.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    context = docs.sparkSession.sparkContext
+    good, _ = written(trusted.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct(), "trusted")
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    likely = texts.where("_id is not null").withColumn("_hash", hashed).join(F.broadcast(good.select(hashed).distinct()), "_hash", "left_semi")
-    target = likely.join(good, "_id", "left_semi").select("_text")
-    counts = [map_arrow(some, _counted(name), f"bucket long, {name} long").groupBy("bucket").agg(F.sum(name).alias(name)) for some, name in ((texts.select("_text"), "raw"), (target, "target"))]
-    return counts[0].join(counts[1], "bucket", "left").na.fill(0, ["target"])
+    hashed = F.when(F.col("_id").isNotNull(), F.xxhash64("_id")).alias("_hash")
+    table = context.broadcast(_table(good))
+    counts = map_arrow(texts.select(hashed, "_text"), _counted(table), "bucket long, raw long, target long")
+    passed = map_arrow(texts.select(hashed, "_id"), _passed(table), "_id long")
+    wrong, _ = written(passed.join(good, "_id", "left_anti").distinct(), "untrusted")
+    wrong_table = _table(wrong)
+    if wrong_table.any():
+        again = map_arrow(texts.select(hashed, "_id", "_text"), _passed(table, context.broadcast(wrong_table)), "_id long, _text string")
+        again = again.join(wrong, "_id", "left_semi").select(F.lit(None).cast("long").alias("_hash"), "_text")
+        again = map_arrow(again, _counted(table), "bucket long, raw long, target long")
+        counts = counts.unionByName(again.select("bucket", F.lit(0).cast("long").alias("raw"), (-F.col("raw")).alias("target")))
+    return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def log_ratios(counts: DataFrame) -> np.ndarray:

@@ -132,3 +132,36 @@ def test_scores_are_those_of_the_model(labelled, spark):
     texts = [*(r.text for r in docs.limit(3).collect()), " lead é trail \n", "", "one"]
     odds = [model.bias + share @ model.moves[ids] for ids, share in map(classifier.features, texts)]
     assert np.allclose(classifier.scores(pa.array([*texts, None]), model), 1 / (1 + np.exp(-np.asarray([*odds, model.bias]))), atol=1e-5)
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 27])
+def test_target_is_that_of_the_trusted_ids_whatever_the_table_lets_through(spark, monkeypatch, bits):
+    """With a table of 64 bits all ids pass it; with a large one, texts of trusted documents are not shuffled."""
+    monkeypatch.setattr(quality_rules, "MOST_BITS", bits)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 62, 1000)) for _ in range(300)]
+    rows = [(i * 977, t) for i, t in enumerate(texts)] + [(None, "nobody trusts me"), (0, "a second text of the first"), (977, None)]
+    good = {i * 977 for i in range(250)} | {-5}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i,) for i in [*good, *list(good)[:3], None]], "doc_id long")
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        found = Counter(quality_rules.grams(Words((t or "").encode())).tolist())
+        raw.update(found)
+        if i in good:
+            target.update(found)
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        found = quality_rules.multinomials(docs, trusted).collect()
+        moved = shuffled() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.bucket: (r.raw, r.target) for r in found} == {b: (n, target[b]) for b, n in raw.items()}
+    assert bits == 64 or moved < 0.5 * sum(map(len, texts))
