@@ -10,7 +10,6 @@ broadcast, so the score of a document of any length is a sum of look-ups.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plankit.llm.arrow import map_arrow
+from plankit.llm.arrow import give_back, lean, map_arrow
 from plankit.llm.texts import bucket, pair_hashes
 from plankit.llm.tokens import slices
 
@@ -31,8 +30,8 @@ THRESHOLD = 0.7
 #: All pairs of a word and itself are one feature: that a word repeats matters more than which.
 _SAME = np.int64((1 << BITS) - 1)
 _GRAMS = (3, 4, 5)
-#: Bytes of text that are scored at a time.
-_SLICE_BYTES = 3 << 20
+#: Bytes of text that are scored at a time; and where rows are kept or not, whole.
+_SLICE_BYTES, _KEPT_BYTES = 3 << 20, 3 << 19
 # Odd multipliers of the polynomial hashes: by place in a gram, and by place in a word.
 _GRAM_PLACES = np.random.default_rng(1).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD_PLACES = np.random.default_rng(2).integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,13 +138,6 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _give_back() -> None:
-    """Return memory that is free, but that the C library holds, to the system: the driver lives on after a fit."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-    if trim:
-        trim(0)
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Train on up to ``sample`` documents of each class, those first in the order of a hash of the id; whole ones.
 
@@ -173,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     del rows, taken
     model = train(texts, wanted, weights)
     del texts
-    _give_back()
+    give_back()
     return model
 
 
@@ -219,7 +211,7 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in slices(batch, place, _SLICE_BYTES):
+            for some in slices(batch, place, _KEPT_BYTES):
                 yield some.filter(pa.array(scores(some.column(place), shared.value) >= threshold))
 
-    return map_arrow(docs, each, docs.schema)
+    return map_arrow(docs, lean(each), docs.schema)

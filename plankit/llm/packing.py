@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plankit.llm.arrow import map_arrow
+from plankit.llm.arrow import lean, map_arrow
 from plankit.llm.scratch import starts, written
 from plankit.llm.tokens import encoder, slices
 
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _PIECE)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(slim, each, "doc_id long, piece int, start long, length long, ids binary, part long, nth long")
+    return map_arrow(slim, each if remembered is None else lean(each, encodes=True), "doc_id long, piece int, start long, length long, ids binary, part long, nth long")
 
 
 _PIECE = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
@@ -193,10 +193,11 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.
     return np.asarray(keys, np.int64), np.asarray(sequences, np.int64), np.asarray(offsets, np.int64)
 
 
-def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def place(found: DataFrame, capacity: int = CAPACITY, forgets: bool = False) -> DataFrame:
     """The rows of found (written; length, part and nth are looked at, other columns pass), with sequence_id and offset.
 
     In each sequence the pieces lie one after another from offset 0. An empty table gives no rows.
+    forgets: whether workers forget their encoders here.
     """
     sums = found.groupBy("part", "length").agg(F.count("*").alias("_n"))
     counts = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most capacity rows
@@ -213,7 +214,7 @@ def place(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, [*names, "sequence_id", "offset"])
 
     schema = ranked.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return map_arrow(ranked, each, schema)
+    return map_arrow(ranked, lean(each) if forgets else each, schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remembered: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -222,8 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     The first has doc_id, piece, start, length, ids_crc32, sequence_id and offset. A null or empty text
     is a piece of the end id alone. Rows without doc_id are packed too; repeated rows are packed each; an
     empty table gives no rows; other columns of docs are not looked at. remembered: units that a worker
-    remembers at most, for less memory at more time.
+    remembers at most, and only until these are encoded, for less memory at more time.
     """
     made, _ = written(pieces(docs, tokenizer, capacity, end_id, id_col, text_col, remembered), "pieces")
     slim = made.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "part", "nth")
-    return place(slim, capacity), made
+    return place(slim, capacity, forgets=remembered is not None), made

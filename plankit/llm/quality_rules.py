@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plankit.llm.arrow import map_arrow
+from plankit.llm.arrow import lean, map_arrow
 from plankit.llm.scratch import written
 from plankit.llm.texts import Words, bucket, pair_hashes
 from plankit.llm.tokens import slices
@@ -123,7 +123,7 @@ def multinomials(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     counted where they lie, as trusted if a table of bounded size lets their id through. The trusted ids
     grow with the corpus, so they are not broadcast: ids alone meet them in a join, which finds the ids
     that the table lets through though nobody trusts them. The texts of those are counted once more, and
-    taken off the target; they alone are shuffled, with what few others a second table lets through.
+    taken off the target; they alone are written and shuffled, with what few others a second table lets through.
     """
     context = docs.sparkSession.sparkContext
     good, _ = written(trusted.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct(), "trusted")
@@ -136,6 +136,7 @@ def multinomials(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     wrong_table = _table(wrong)
     if wrong_table.any():
         again = map_arrow(texts.select(hashed, "_id", "_text"), _passed(table, context.broadcast(wrong_table)), "_id long, _text string")
+        again, _ = written(again, "again")  # else a task would run two Python workers, and both would live on
         again = again.join(wrong, "_id", "left_semi").select(F.lit(None).cast("long").alias("_hash"), "_text")
         again = map_arrow(again, _counted(table), "bucket long, raw long, target long")
         counts = counts.unionByName(again.select("bucket", F.lit(0).cast("long").alias("raw"), (-F.col("raw")).alias("target")))
@@ -208,4 +209,4 @@ def keep(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col:
             found = [judge(t or b"", ratios.value) for t in batch.column(place).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array([not base_failed(x[0], x[4]) and x[5] >= threshold for x in found], pa.bool_()))
 
-    return map_arrow(docs, each, docs.schema)
+    return map_arrow(docs, lean(each), docs.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plankit.llm.arrow import map_arrow, ship
+from plankit.llm.arrow import lean, map_arrow, ship
 from plankit.llm.components import components
 from plankit.llm.scratch import written
 from plankit.llm.simhash import covering_masks, fingerprint, shingle_hashes, signed
@@ -33,6 +33,8 @@ from plankit.llm.tokens import slices
 PRINTS, RADIUS = 3, 5
 #: Rounds of hubs, and nodes of a cluster's block, about.
 ROUNDS, BLOCK = 2, 512
+#: Rows that a task posts to the tables, about, and tasks that post, at most.
+POSTED, POSTING = 1_000_000, 8192
 
 _ADD = [np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64)) for i in range(PRINTS)]
 _MIX = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -147,16 +149,21 @@ def _key(text_col: str) -> Column:
     return F.md5(_text(text_col).cast("binary"))
 
 
+def dealt(nodes: DataFrame, tables: int) -> DataFrame:
+    """nodes, dealt out to so many tasks that each posts about POSTED rows: of a few files of nodes a task would make hundreds of times their rows."""
+    return nodes.repartition(min(POSTING, 1 + nodes.count() * tables // POSTED), "node")
+
+
 def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(key, node): each different text of docs, by its MD5, with a number; and stars (node, root) of those that are linked.
 
     A root has no row among the stars. Null texts are empty ones; texts without words are alike.
     """
     texts = docs.select(_key(text_col).alias("key"), _text(text_col).alias("text"))
-    marks, _ = written(map_arrow(texts, _printed, "key string, prints array<long>"), "prints")
+    marks, _ = written(map_arrow(texts, lean(_printed), "key string, prints array<long>"), "prints")
     nodes, _ = written(marks.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    masks = F.array(*[F.struct(F.lit(p).alias("of"), F.lit(signed(m)).alias("mask")) for p in range(PRINTS) for m in covering_masks(RADIUS)])
-    spread = nodes.select("node", "prints", F.posexplode(masks).alias("nth", "t"))
+    masks = [F.struct(F.lit(p).alias("of"), F.lit(signed(m)).alias("mask")) for p in range(PRINTS) for m in covering_masks(RADIUS)]
+    spread = dealt(nodes.select("node", "prints"), len(masks)).select("node", "prints", F.posexplode(F.array(*masks)).alias("nth", "t"))
     # a bucket's number ends in that of its fingerprint, so that the rows that are dealt out are narrow
     bucket = F.xxhash64("nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask")))
     posted = spread.select(F.shiftleft(bucket, 2).bitwiseOR(F.col("t.of").cast("long")).alias("at"), "node")
@@ -165,12 +172,12 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     members, _ = written(members, "members")
     used = members.select("node").distinct().join(nodes.select("key", "node"), "node")
     held = texts.join(used, "key").dropDuplicates(["key"]).select("node", "text")
-    held, _ = written(map_arrow(held, _shingled(size), "node long, shingles binary"), "shingles")
+    held, _ = written(map_arrow(held, lean(_shingled(size)), "node long, shingles binary"), "shingles")
 
     def checked(pairs: DataFrame) -> DataFrame:
         for c, name in (("u", "a"), ("v", "b")):
             pairs = pairs.join(held.select(F.col("node").alias(c), F.col("shingles").alias(name)), c)
-        return map_arrow(pairs.select("u", "v", "a", "b"), _checked(least), "u long, v long")
+        return map_arrow(pairs.select("u", "v", "a", "b"), lean(_checked(least)), "u long, v long")
 
     stars = docs.sparkSession.createDataFrame([], "node long, root long")
 

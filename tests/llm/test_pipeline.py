@@ -1,8 +1,9 @@
 import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from plankit.llm import queries
+from plankit.llm import arrow, queries, tokens
 from plankit.llm.scratch import starts
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -79,3 +80,14 @@ def test_running_totals(spark):
     sums = spark.createDataFrame(rows, "part long, kind long, n long")
     found = {(r.part, r.kind): r.before for r in starts(sums, ["part"], "n", "before", by=["kind"], block=7).collect()}
     assert found == {(p, k): sum(n for q, j, n in rows if q < p and j == k) for p, k, _ in rows}
+
+
+def test_workers_forget_encoders():
+    """Encoders that a worker remembers last until a stage that does not encode; it gives the rows that it gave."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens.encoder.cache_clear()
+    first = tokens.encoder(path, "byte_level", 5)
+    assert list(arrow.lean(lambda rows: rows, encodes=True)(iter([1, 2]))) == [1, 2]
+    assert tokens.encoder(path, "byte_level", 5) is first
+    assert list(arrow.lean(lambda rows: rows)(iter([1, 2]))) == [1, 2]
+    assert tokens.encoder.cache_info().currsize == 0

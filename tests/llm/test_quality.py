@@ -165,3 +165,16 @@ def test_target_is_that_of_the_trusted_ids_whatever_the_table_lets_through(spark
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert {r.bucket: (r.raw, r.target) for r in found} == {b: (n, target[b]) for b, n in raw.items()}
     assert bits == 64 or moved < 0.5 * sum(map(len, texts))
+
+
+def test_no_task_counts_in_two_python_workers(spark, monkeypatch):
+    """One that reads its rows from another would hold two workers, and each executor twice as many from then on."""
+    monkeypatch.setattr(quality_rules, "MOST_BITS", 64)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    found = quality_rules.multinomials(docs, spark.range(200).withColumnRenamed("id", "doc_id"))
+
+    def chained(plan):
+        below = plan.children()
+        return (plan.nodeName() == "MapInArrow") + max([chained(below.apply(i)) for i in range(below.size())], default=0)
+
+    assert chained(found._jdf.queryExecution().optimizedPlan()) == 1

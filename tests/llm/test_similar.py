@@ -76,3 +76,15 @@ def test_groups_without_a_middle_are_whole(spark, monkeypatch, rounds, block):
 
 def test_no_documents(spark):
     assert similar.keep_first(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tables_are_posted_by_many_tasks(spark, monkeypatch):
+    """Nodes in one file, of which one task would post 189 rows each; all nodes stay, and the result too."""
+    monkeypatch.setattr(similar, "POSTED", 10_000)
+    nodes = spark.range(3000).coalesce(1).withColumnRenamed("id", "node")
+    sizes = [len(part) for part in similar.dealt(nodes, 189).rdd.glom().collect()]
+    assert sum(sizes) == 3000 and max(sizes) * 189 < 2.5 * similar.POSTED
+    assert similar.dealt(nodes.limit(0), 189).count() == 0
+    texts = [f"{' '.join(f'w{i}.{k}' for k in range(60))}{end}" for i in range(80) for end in ("", " x")]
+    found = similar.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in found.collect()) == list(range(0, 160, 2))
