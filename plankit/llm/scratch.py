@@ -16,11 +16,20 @@ from plankit.sources.shared import drop_path, new_path
 __all__ = ["drop_path", "new_path", "starts", "written"]
 
 
+#: Whether Spark removes the shuffle files of a query when it ends; else they stay until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
-    """The rows of df, written to the shared folder and read again; and their path."""
+    """The rows of df, written to the shared folder and read again; and their path. What df shuffled is removed."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -8,19 +8,25 @@ one of which every such pair collides. A pair links only if its sets of shingles
 
 Pairs are never emitted by a group. In each of a few rounds every bucket names a hub, the members that
 are not linked to it yet are checked against it, and components are made of what links. Buckets that
-then still hold members of different components are open: the nodes that open buckets connect make
-clusters, which are dealt into blocks of bounded size, and each two blocks of a cluster meet in a task
-that checks all candidates between different components there by an inverted file of the shingles, and
-returns what links. So every link between candidates counts, whatever the size of a bucket.
+then still hold members of different components are open. In those of up to CROWD members each two that
+are near are checked: most hold a few that met by chance, and would connect ever more of a larger corpus.
+The nodes that larger open buckets connect make clusters, which are dealt into blocks of bounded size,
+and each two blocks of a cluster meet in a task that checks all candidates between different components
+there by an inverted file of the shingles, and returns what links. So every link between candidates
+counts, whatever the size of a bucket.
+
+The masks take turns, so that the rows posted at a time, and the disk they take, are bounded whatever the
+corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plankit.llm.arrow import lean, map_arrow, ship
@@ -31,8 +37,10 @@ from plankit.llm.tokens import slices
 
 #: Independent fingerprints of a text, 4 at most, and the bits in which those of a candidate may differ.
 PRINTS, RADIUS = 3, 5
-#: Rounds of hubs, and nodes of a cluster's block, about.
-ROUNDS, BLOCK = 2, 512
+#: Rounds of hubs, members of an open bucket that are compared in pairs, at most, and nodes of a cluster's block, about.
+ROUNDS, CROWD, BLOCK = 2, 8, 512
+#: Rows posted in a turn, about.
+TURN = 30_000_000
 #: Rows that a task posts to the tables, about, and tasks that post, at most.
 POSTED, POSTING = 1_000_000, 8192
 
@@ -154,6 +162,23 @@ def dealt(nodes: DataFrame, tables: int) -> DataFrame:
     return nodes.repartition(min(POSTING, 1 + nodes.count() * tables // POSTED), "node")
 
 
+def _members(nodes: DataFrame) -> DataFrame:
+    """(at, node, n, fp): the buckets of two nodes or more, each with its members, their number and their fingerprints."""
+    masks = [F.struct(F.lit(i).alias("nth"), F.lit(i // len(near)).alias("of"), F.lit(signed(m)).alias("mask")) for near in [covering_masks(RADIUS)] for i, m in enumerate(near * PRINTS)]
+    turns = min(len(masks), 1 + nodes.count() * len(masks) // TURN)
+    made = []
+    for turn in range(turns):
+        some = masks[turn::turns]
+        spread = dealt(nodes.select("node", "prints"), len(some)).select("node", "prints", F.explode(F.array(*some)).alias("t"))
+        # a bucket's number ends in that of its fingerprint, so that the rows that are dealt out are narrow
+        bucket = F.xxhash64("t.nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask")))
+        posted = spread.select(F.shiftleft(bucket, 2).bitwiseOR(F.col("t.of").cast("long")).alias("at"), "node")
+        shared = posted.withColumn("n", F.count("*").over(Window.partitionBy("at"))).where("n > 1")
+        marked = shared.join(nodes.select("node", "prints"), "node")
+        made.append(written(marked.select("at", "node", "n", F.get("prints", F.col("at").bitwiseAND(F.lit(3)).cast("int")).alias("fp")), "members")[0])
+    return reduce(DataFrame.unionByName, made)
+
+
 def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(key, node): each different text of docs, by its MD5, with a number; and stars (node, root) of those that are linked.
 
@@ -162,14 +187,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     texts = docs.select(_key(text_col).alias("key"), _text(text_col).alias("text"))
     marks, _ = written(map_arrow(texts, lean(_printed), "key string, prints array<long>"), "prints")
     nodes, _ = written(marks.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    masks = [F.struct(F.lit(p).alias("of"), F.lit(signed(m)).alias("mask")) for p in range(PRINTS) for m in covering_masks(RADIUS)]
-    spread = dealt(nodes.select("node", "prints"), len(masks)).select("node", "prints", F.posexplode(F.array(*masks)).alias("nth", "t"))
-    # a bucket's number ends in that of its fingerprint, so that the rows that are dealt out are narrow
-    bucket = F.xxhash64("nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask")))
-    posted = spread.select(F.shiftleft(bucket, 2).bitwiseOR(F.col("t.of").cast("long")).alias("at"), "node")
-    shared = posted.groupBy("at").count().where("count > 1").select("at")
-    members = posted.join(shared, "at").join(nodes.select("node", "prints"), "node").select("at", "node", F.get("prints", F.col("at").bitwiseAND(F.lit(3)).cast("int")).alias("fp"))
-    members, _ = written(members, "members")
+    members = _members(nodes)
     used = members.select("node").distinct().join(nodes.select("key", "node"), "node")
     held = texts.join(used, "key").dropDuplicates(["key"]).select("node", "text")
     held, _ = written(map_arrow(held, lean(_shingled(size)), "node long, shingles binary"), "shingles")
@@ -200,7 +218,12 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
         pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
         stars = joined(checked(pairs.distinct()))
     rooted, open_ = opened()
-    some, _ = written(rooted.join(open_, "at").select("at", "node", "root"), "open")
+    some, _ = written(rooted.join(open_, "at").select("at", "node", "n", "fp", "root"), "open")
+    few = some.where(F.col("n") <= CROWD)
+    a, b = few.alias("a"), few.alias("b")
+    apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
+    pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+    some = some.where(F.col("n") > CROWD)
     firsts = some.groupBy("at").agg(F.min("node").alias("v"))
     clusters = components(some.join(firsts, "at").select(F.col("node").alias("u"), "v"))
     placed = some.select("node", "root").distinct().join(clusters.select(F.col("u").alias("node"), F.col("v").alias("cluster")), "node", "left")
@@ -213,7 +236,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     cells = cells.join(nodes.select("node", "prints"), "node").join(held, "node")
     ship(docs.sparkSession)
     rest = cells.groupBy("cluster", "i", "j").applyInArrow(_cell(least), "u long, v long")
-    return nodes.select("key", "node"), joined(rest)
+    return nodes.select("key", "node"), joined(checked(pairs.distinct()).unionByName(rest))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8) -> DataFrame:
@@ -232,4 +255,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # null ids as a mark and 0, so that the join and what drops repeated rows share one shuffle
     row = ["_none", "_id", "_key"]
     named = docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": _key(text_col)})
-    return named.join(kept.hint("merge"), row, "left_semi").dropDuplicates(row).select(*docs.columns)
+    return named.join(kept, row, "left_semi").dropDuplicates(row).select(*docs.columns)

@@ -1,10 +1,13 @@
+import time
+
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from plankit.llm import arrow, queries, tokens
-from plankit.llm.scratch import starts
+from plankit.llm.scratch import CLEANUP, starts, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -82,6 +85,25 @@ def test_running_totals(spark):
     assert found == {(p, k): sum(n for q, j, n in rows if q < p and j == k) for p, k, _ in rows}
 
 
+def test_what_a_written_table_shuffled_is_removed(spark):
+    """Its shuffle files go at once, not with the driver's garbage; the session's setting stays as it was."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files() -> set[str]:
+        return {f.rsplit("/", 1)[-1] for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    grouped = spark.range(1000).repartition(3).groupBy((F.col("id") % 10).alias("k")).count()
+    found, _ = written(grouped, "shuffled")
+    for _ in range(100):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP, None) == setting
+    assert sorted(map(tuple, found.collect())) == [(k, 100) for k in range(10)]
+
+
 def test_workers_forget_encoders():
     """Encoders that a worker remembers last until a stage that does not encode; it gives the rows that it gave."""
     path = public_tokenizers.path("byte_bpe_50k.json")

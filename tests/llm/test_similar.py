@@ -88,3 +88,27 @@ def test_tables_are_posted_by_many_tasks(spark, monkeypatch):
     texts = [f"{' '.join(f'w{i}.{k}' for k in range(60))}{end}" for i in range(80) for end in ("", " x")]
     found = similar.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in found.collect()) == list(range(0, 160, 2))
+
+
+@pytest.mark.parametrize("turn, crowd, block", [(1000, 256, 512), (1500, 1, 3), (30_000_000, 3, 4)])
+def test_masks_in_turns_and_buckets_by_size_give_the_same(spark, monkeypatch, turn, crowd, block):
+    """Chains without hubs: open buckets are compared in pairs, or in the cells of a cluster; masks in one turn or in many."""
+    monkeypatch.setattr(similar, "ROUNDS", 0)
+    monkeypatch.setattr(similar, "TURN", turn)
+    monkeypatch.setattr(similar, "CROWD", crowd)
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(5)
+    texts = []
+    for chain in range(3):
+        words = [f"w{chain}.{i}" for i in range(120)]
+        for i in range(5):
+            words[rng.randrange(120)] = f"new{i}"
+            texts.append(" ".join(words))
+    shared, turns = similar.written, []
+    monkeypatch.setattr(similar, "written", lambda df, name, *a: (turns.append(name), shared(df, name, *a))[1])
+    found = similar.keep_first(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    wanted = {}
+    for i, r in enumerate(brute(texts, candidates=True)):
+        wanted.setdefault(r, i)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(wanted.values())
+    assert turns.count("members") == 1 + 15 * 189 // turn
