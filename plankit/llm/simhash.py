@@ -85,7 +85,8 @@ def links(nodes: DataFrame, radius: int = 2, crowd: int = 512) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))])
     posted = nodes.select("fp", F.explode(tables).alias("t")).select("fp", "t.k", "t.key")
     sizes = posted.groupBy("k", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members, _ = written(posted.join(sizes, ["k", "key"]), "members")
+    # merged: an exploded side is sized by its rows before, and would be broadcast
+    members, _ = written(posted.join(sizes.hint("merge"), ["k", "key"]), "members")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     few = members.where(F.col("n") <= crowd)
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near)

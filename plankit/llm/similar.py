@@ -16,7 +16,7 @@ there by an inverted file of the shingles, and returns what links. So every link
 counts, whatever the size of a bucket.
 
 The masks take turns, so that the rows posted at a time, and the disk they take, are bounded whatever the
-corpus.
+corpus. A side of a join that was exploded is sized by its rows before, so such joins are told to merge.
 """
 
 from __future__ import annotations
@@ -174,7 +174,7 @@ def _members(nodes: DataFrame) -> DataFrame:
         bucket = F.xxhash64("t.nth", F.get("prints", F.col("t.of")).bitwiseAND(F.col("t.mask")))
         posted = spread.select(F.shiftleft(bucket, 2).bitwiseOR(F.col("t.of").cast("long")).alias("at"), "node")
         shared = posted.withColumn("n", F.count("*").over(Window.partitionBy("at"))).where("n > 1")
-        marked = shared.join(nodes.select("node", "prints"), "node")
+        marked = shared.join(nodes.select("node", "prints").hint("merge"), "node")
         made.append(written(marked.select("at", "node", "n", F.get("prints", F.col("at").bitwiseAND(F.lit(3)).cast("int")).alias("fp")), "members")[0])
     return reduce(DataFrame.unionByName, made)
 
@@ -220,7 +220,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     rooted, open_ = opened()
     some, _ = written(rooted.join(open_, "at").select("at", "node", "n", "fp", "root"), "open")
     few = some.where(F.col("n") <= CROWD)
-    a, b = few.alias("a"), few.alias("b")
+    a, b = few.alias("a"), few.alias("b").hint("merge")
     apart = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root")) & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
     pairs = a.join(b, (F.col("a.at") == F.col("b.at")) & apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
     some = some.where(F.col("n") > CROWD)
@@ -233,7 +233,7 @@ def links(docs: DataFrame, text_col: str = "text", size: int = 5, least: float =
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
     cells = spread.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), side.alias("side"), "node", "root")
-    cells = cells.join(nodes.select("node", "prints"), "node").join(held, "node")
+    cells = cells.join(nodes.select("node", "prints").hint("merge"), "node").join(held.hint("merge"), "node")
     ship(docs.sparkSession)
     rest = cells.groupBy("cluster", "i", "j").applyInArrow(_cell(least), "u long, v long")
     return nodes.select("key", "node"), joined(checked(pairs.distinct()).unionByName(rest))
@@ -255,4 +255,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # null ids as a mark and 0, so that the join and what drops repeated rows share one shuffle
     row = ["_none", "_id", "_key"]
     named = docs.withColumns({"_none": F.col(id_col).isNull(), "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long")), "_key": _key(text_col)})
-    return named.join(kept, row, "left_semi").dropDuplicates(row).select(*docs.columns)
+    return named.join(kept.hint("merge"), row, "left_semi").dropDuplicates(row).select(*docs.columns)

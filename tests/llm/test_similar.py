@@ -112,3 +112,19 @@ def test_masks_in_turns_and_buckets_by_size_give_the_same(spark, monkeypatch, tu
         wanted.setdefault(r, i)
     assert sorted(r.doc_id for r in found.collect()) == sorted(wanted.values())
     assert turns.count("members") == 1 + 15 * 189 // turn
+
+
+def test_what_was_posted_is_never_broadcast(spark, monkeypatch):
+    """Nodes are few bytes, but each posts a row to each table: Spark sizes what it posts by the nodes."""
+    plans = []
+    shared = similar.written
+
+    def seen(df, name, *a):
+        if name == "members":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return shared(df, name, *a)
+
+    monkeypatch.setattr(similar, "written", seen)
+    docs = spark.createDataFrame([(i, f"a text of {i % 4} and {i}") for i in range(40)], "doc_id long, text string")
+    assert similar.keep_first(docs).count() > 0
+    assert plans and not any("Broadcast" in p for p in plans)
