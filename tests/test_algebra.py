@@ -127,6 +127,22 @@ def test_theta_outer_join(nations, numbers):
     assert sorted(rows(found.project("key", "x")), key=repr) == [(3, 10), (3, 12), (5, 12), (7, None), (None, None)]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_few_keys_of_many_rows_are_made_by_all_tasks(spark, monkeypatch, how):
+    """One file of a key that repeats on both sides: each task makes a like part of the product; no match, null keys and a right that is too large too."""
+    from plankit.operators import relation
+
+    left = Relation(spark.sql("SELECT id AS a, IF(id % 4 = 0, null, IF(id = 1, 9, 1)) AS k FROM range(0, 400, 1, 1)"))
+    right = Relation(spark.sql("SELECT id AS b, IF(id % 5 = 0, null, 1) AS k FROM range(50)"))
+    plain = left.join(right, ["k"], how).project("a", "b")
+    made = left.join(right, ["k"], how, "many").project("a", "b")
+    assert sorted(rows(made), key=repr) == sorted(rows(plain), key=repr)
+    sizes = [len(part) for part in made.df.rdd.glom().collect()]
+    assert len(sizes) >= 16 and max(sizes) < 0.2 * sum(sizes)
+    monkeypatch.setattr(relation, "BROADCAST_BYTES", 0)
+    assert sorted(rows(left.join(right, ["k"], how, "many").project("a", "b")), key=repr) == sorted(rows(plain), key=repr)
+
+
 def test_select_above_limit_stays_there(people):
     assert rows(people.order("id").limit(2).select(col("id") > 1).project("id")) == [(2,)]
 
