@@ -6,21 +6,24 @@ Where an operator depends on order, the order is an argument, since rows have no
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from plankit.functions.registry import FUNCTIONS, Kind
 
 #: A side named in a broadcast hint is broadcast if its estimated size is at most this.
 BROADCAST_BYTES = 256 << 20
 
-#: A running function over all rows of a relation goes through one task if its estimated size is at most this.
-ONE_TASK_BYTES = 128 << 20
+#: A running function over all rows of a relation goes through one task if its estimated size is at most this:
+#: estimates are by compressed files, and 4 MB of one number a row can be 1.3 M rows, of 80 bytes each in a sort.
+ONE_TASK_BYTES = 4 << 20
 
-#: Rows sampled for each range that a larger one is dealt into.
-SAMPLED = 40
+#: Rows of a range that a larger one is dealt into, about, and rows sampled for each range.
+RANGE_ROWS, SAMPLED = 500_000, 40
 
 Order = Sequence[str | Column]
 
@@ -163,16 +166,21 @@ class Relation:
         window = Window.partitionBy(*partition).orderBy(*_order(order))
         return Relation(self.df.withColumns({k: FUNCTIONS.running(f.name, window, *args) for k, (f, args) in made.items()}))
 
-    def _ranged(self, order: Sequence[str]) -> DataFrame:
-        """The rows with _range, the number of bounds that come before a row in the order. Rows of equal keys share a range."""
-        count = max(2, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    def _ranged(self, order: Sequence[str]) -> tuple[DataFrame, int]:
+        """The rows with _range, the number of bounds that come before a row in the order. Rows of equal keys share a range.
+
+        Also the number of ranges. There are so many ranges that each has RANGE_ROWS rows at most, about, however large the relation.
+        A row is compared with the first bound of each group of bounds, then with those of one group.
+        """
         names = [k.removeprefix("-") for k in order]
         keys = self.df.select(*[F.col(n).alias(f"k{i}") for i, n in enumerate(names)])
-        share = min(1.0, SAMPLED * count / max(1, keys.count()))
+        rows = keys.count()
+        count = max(2, int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS)
+        share = min(1.0, SAMPLED * count / max(1, rows))
         sampled = keys.sample(share, 17).orderBy(*_order([k[: k.startswith("-")] + f"k{i}" for i, k in enumerate(order)])).collect()
         bounds = list(dict.fromkeys(sampled[i * len(sampled) // count] for i in range(1, count))) if sampled else []
         if not bounds:
-            return self.df.withColumn("_range", F.lit(0))
+            return self.df.withColumn("_range", F.lit(0)), 1
 
         def before(bound: Column) -> Column:
             """Whether the bound comes before the row: by the first key in which they differ."""
@@ -185,17 +193,23 @@ class Relation:
                 found = less | (a.eqNullSafe(b) & found)
             return found
 
-        table = self.df.sparkSession.createDataFrame(bounds, keys.schema).agg(F.collect_list(F.struct("*")).alias("_bounds"))
-        return self.df.crossJoin(F.broadcast(table)).withColumn("_range", F.size(F.filter("_bounds", before))).drop("_bounds")
+        wide = math.isqrt(len(bounds) - 1) + 1
+        groups = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+        lists = ArrayType(keys.schema)
+        table = self.df.sparkSession.createDataFrame([([g[0] for g in groups], groups)], StructType().add("_firsts", lists).add("_groups", ArrayType(lists)))
+        dealt = self.df.crossJoin(F.broadcast(table)).withColumn("_group", F.size(F.filter("_firsts", before)) - 1)
+        inside = (F.col("_group") * wide + F.size(F.filter(F.get("_groups", F.col("_group")), before))).cast("int")
+        return dealt.withColumn("_range", F.when(F.col("_group") < 0, 0).otherwise(inside)).drop("_firsts", "_groups", "_group"), len(bounds) + 1
 
     def _running_ranges(self, order: Sequence[str], made: dict[str, tuple]) -> Relation:
-        dealt = self._ranged(order)
+        dealt, count = self._ranged(order)
         parts = {f"_{k}_{i}": (build(*args), fold) for k, (f, args) in made.items() for i, (build, fold) in enumerate(f.partial.parts)}
         earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
         totals = dealt.groupBy("_range").agg(*[value.alias(p) for p, (value, _) in parts.items()])
         totals = totals.select("_range", *[getattr(F, fold)(p).over(earlier).alias(f"{p}_before") for p, (_, fold) in parts.items()])
         inside = Window.partitionBy("_range").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        joined = dealt.withColumns({p: value.over(inside) for p, (value, _) in parts.items()}).join(F.broadcast(totals), "_range")
+        spread = dealt.repartition(max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), count), "_range")
+        joined = spread.withColumns({p: value.over(inside) for p, (value, _) in parts.items()}).join(F.broadcast(totals), "_range")
 
         def so_far(part: str, fold: str) -> Column:
             old, new = F.col(f"{part}_before"), F.col(part)

@@ -168,6 +168,25 @@ def test_running_values_over_ranges_equal_those_of_one_task(spark, monkeypatch,
     assert rows(made.select(F.lit(False)).running(order, n=("running-count",))) == []
 
 
+def test_ranges_are_as_many_as_the_rows_need(spark, monkeypatch):
+    """A relation of a few MB by its files can be millions of rows: ranges hold a bounded number, whatever the partitions."""
+    from plankit.operators import relation
+
+    assert relation.ONE_TASK_BYTES <= 8 << 20
+    monkeypatch.setattr(relation, "ONE_TASK_BYTES", 0)
+    monkeypatch.setattr(relation, "RANGE_ROWS", 1000)
+    made = Relation(spark.sql("SELECT id, id * 7919 % 20011 AS k FROM range(20000)"))
+    for order, column in ((["k"], "k"), (["-k", "id"], "k"), (["id"], "id")):
+        dealt, count = made._ranged(order)
+        sizes = [r[1] for r in dealt.groupBy("_range").count().collect()]
+        assert 15 <= count <= 20 and len(sizes) == count and max(sizes) < 2500
+        found = rows(made.running(order, n=("running-count",), top=("running-max", column)).project(column, "n", "top"))
+        keys = sorted((r[0] for r in found), reverse=order[0].startswith("-"))
+        assert sorted(found, key=lambda r: r[1]) == [(k, i + 1, max(k, keys[0])) for i, k in enumerate(keys)]
+    tasks = made.running(["id"], n=("running-count",)).df.rdd.glom().map(len).collect()
+    assert sum(tasks) == 20000 and max(tasks) < 8000
+
+
 def test_registered_running_functions_over_ranges(spark, monkeypatch):
     from plankit.operators import relation
 
